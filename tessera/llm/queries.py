@@ -17,7 +17,16 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(docs).join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op9_exact_dedup": op9_exact_dedup}
+def op5_secret_scan(spark, sf_dir):
+    from .secret_scan import scan_secrets, spans_text
+
+    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
+    count = lambda k: F.size(F.filter("secret_spans", lambda x: x["rank"] == k)).cast("long")
+    base = F.filter("secret_spans", lambda x: x["rank"] < 3)
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
