@@ -26,7 +26,16 @@ def op5_secret_scan(spark, sf_dir):
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("secret_spans")).alias("spans"))
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op9_exact_dedup": op9_exact_dedup}
+def op6_pii(spark, sf_dir):
+    from .pii import KINDS, pseudonymise
+
+    done = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("pii_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    spans = F.array_join(F.transform("pii_spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return done.select("doc_id", *[count(k) for k in KINDS], spans.alias("spans"), F.transform("pii_spans", lambda x: x["new"]).alias("pseudonyms"), "text")
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
