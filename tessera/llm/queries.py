@@ -17,6 +17,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(docs).join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op1_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark, sf_dir):
     from .secret_scan import scan_secrets, spans_text
 
@@ -35,7 +41,14 @@ def op6_pii(spark, sf_dir):
     return done.select("doc_id", *[count(k) for k in KINDS], spans.alias("spans"), F.transform("pii_spans", lambda x: x["new"]).alias("pseudonyms"), "text")
 
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op9_exact_dedup": op9_exact_dedup}
+def op8_bpe(spark, sf_dir):
+    from .bpe import bpe_round_trip
+
+    out = bpe_round_trip(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup}
 
 ORACLE = {
     "op9_exact_dedup": """
