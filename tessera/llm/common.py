@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bit maps of 32,768 bits each that a sieve has: 256 x 4 KB = 1 MB broadcast at most.
+SIEVE_BUCKETS = 256
+_BITS = 32_768
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(key, F.lit(SIEVE_BUCKETS * _BITS))
+    return F.floor(at / _BITS).cast("int"), F.pmod(at, F.lit(_BITS)).cast("int")
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """At most SIEVE_BUCKETS rows (bucket, bits) that hold a bit for each of keys.key."""
+    bucket, bit = _slot(F.col("key"))
+    return keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
+
+
+def passes(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """rows with a column _maybe: whether the key's bit is set."""
+    bucket, bit = _slot(key)
+    rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
+    rows = rows.join(F.broadcast(bits), "_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))
+    return rows.withColumn("_maybe", maybe).drop("_bucket", "_bit", "_bits")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: ``(node, component)`` with the smallest node as name.
 

@@ -2,44 +2,20 @@
 
 All of it is DataFrame expressions. Texts whose byte length, or length and prefix, occur once are
 settled without their content ever being hashed in full. The two refinements are handed to the final
-scan as bit maps of fixed size (``SIEVE_BUCKETS`` x 4 KB, so their broadcast is bounded whatever the
+scan as bit maps of fixed size (``common.SIEVE_BUCKETS`` x 4 KB, so their broadcast is bounded whatever the
 input): a text is read in full only if its bit is set. A bit set by chance costs one needless hash and
 nothing else, so the result is exact. No text is ever shuffled, only ids, lengths and hashes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, passes, sieve
 
 #: Characters of the text that the second refinement hashes.
 PREFIX_CHARS = 256
-#: Bit maps of 32,768 bits each that a sieve has: 256 x 4 KB = 1 MB broadcast at most.
-SIEVE_BUCKETS = 256
-_BITS = 32_768
-
-
-def _slot(key: Column) -> tuple[Column, Column]:
-    at = F.pmod(key, F.lit(SIEVE_BUCKETS * _BITS))
-    return F.floor(at / _BITS).cast("int"), F.pmod(at, F.lit(_BITS)).cast("int")
-
-
-def _sieve(keys: DataFrame) -> DataFrame:
-    """At most SIEVE_BUCKETS rows (bucket, bits) that hold a bit for each of keys.key."""
-    bucket, bit = _slot(F.col("key"))
-    return keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
-
-
-def _passes(rows: DataFrame, key: Column, sieve: DataFrame) -> DataFrame:
-    """rows with a column _maybe: whether the key's bit is set."""
-    bucket, bit = _slot(key)
-    rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
-    rows = rows.join(F.broadcast(sieve), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    maybe = F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))
-    return rows.withColumn("_maybe", maybe).drop("_bucket", "_bit", "_bits")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,9 +31,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n, prefix = F.octet_length("_t").cast("long"), F.xxhash64(F.substring("_t", 1, PREFIX_CHARS))
     lean = cut(base.select("_id", n.alias("_n"), prefix.alias("_p")))
     by_length = lean.groupBy("_n").count().where("count > 1").select(F.xxhash64("_n").alias("key"))
-    long_enough = _passes(lean, F.xxhash64("_n"), _sieve(by_length)).where("_maybe")
+    long_enough = passes(lean, F.xxhash64("_n"), sieve(by_length)).where("_maybe")
     by_prefix = long_enough.groupBy("_n", "_p").count().where("count > 1").select(F.xxhash64("_n", "_p").alias("key"))
-    full = _passes(base.withColumn("_n", n).withColumn("_p", prefix), F.xxhash64("_n", "_p"), _sieve(by_prefix))
+    full = passes(base.withColumn("_n", n).withColumn("_p", prefix), F.xxhash64("_n", "_p"), sieve(by_prefix))
     full = full.select("_id", "_n", F.when(F.col("_maybe"), F.sha2(F.col("_t").cast("binary"), 256)).alias("_h"))
     groups = full.where("_h is not null").groupBy("_n", "_h").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     # The hot side of this join is split by the adaptive skew join; the other has one row per group.

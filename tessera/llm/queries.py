@@ -41,6 +41,14 @@ def op6_pii(spark, sf_dir):
     return done.select("doc_id", *[count(k) for k in KINDS], spans.alias("spans"), F.transform("pii_spans", lambda x: x["new"]).alias("pseudonyms"), "text")
 
 
+def op7_language_id(spark, sf_dir):
+    from .language_id import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe(spark, sf_dir):
     from .bpe import bpe_round_trip
 
@@ -48,7 +56,13 @@ def op8_bpe(spark, sf_dir):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup}
+def op10_minhash(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES = {"op1_packing": op1_packing, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op7_language_id": op7_language_id, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
 
 ORACLE = {
     "op9_exact_dedup": """
