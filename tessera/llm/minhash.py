@@ -8,9 +8,11 @@ equal sets are one from here on.
 Within a bucket the candidates are a star: the centre is the document with the largest buckets over all
 bands (the one most others resemble), and it is compared with all others. Every candidate link is
 confirmed on the full sets. Where a bucket then still holds documents of several components, further
-centres follow in rounds, each compared with what is outside its component, so that no pair of a bucket is passed over
-unless its two documents are already connected. All of a small bucket become centres at once.
-Pairs are thus in proportion to the rows of the buckets and not to their squares.
+centres follow in rounds, each compared with all that is outside its component. All of a small bucket
+become centres at once, so none of its pairs is passed over unless the two are already connected. A
+large bucket gets one more centre a round, for as long as a round confirms any new link; pairs of it
+that no centre was part of are left to the other bands, whose buckets and centres are others. Pairs are
+thus in proportion to the rows of the buckets and not to their squares.
 """
 
 from __future__ import annotations
@@ -200,6 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids = rows.select(F.col("rep").alias("id")).distinct()
             sets = cut(_sets_of(docs, ids, words, id_col, text_col))
         found = cut(_confirmed(pairs, sets, percent, 100))
+        if found.isEmpty() and led is not None:
+            break
         tried = pairs if tried is None else cut(tried.unionByName(pairs))
         links = found if links is None else cut(links.unionByName(found))
         led_now = centres.select("key", F.col("centre").alias("rep"))
