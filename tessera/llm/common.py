@@ -95,3 +95,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         labels = e.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
     return labels
+
+
+def store(df: DataFrame, what: str) -> DataFrame:
+    """Like cut, as compressed Parquet: for tables too large for a checkpoint's plain rows."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

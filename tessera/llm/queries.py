@@ -23,6 +23,14 @@ def op1_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    from .suffix_dedup import repeated_substrings
+
+    out = repeated_substrings(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark, sf_dir):
     from .secret_scan import scan_secrets, spans_text
 
@@ -62,7 +70,7 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op1_packing": op1_packing, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op7_language_id": op7_language_id, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
+QUERIES = {"op1_packing": op1_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op7_language_id": op7_language_id, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
 
 ORACLE = {
     "op9_exact_dedup": """
