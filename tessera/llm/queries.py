@@ -23,6 +23,18 @@ def op1_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark, sf_dir):
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import repeated_substrings
 
@@ -70,9 +82,14 @@ def op10_minhash(spark, sf_dir):
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_suffix_dedup": op4_suffix_dedup, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op7_language_id": op7_language_id, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
+QUERIES = {"op1_packing": op1_packing, "op2_embedding_dedup": op2_embedding_dedup, "op3_warc": op3_warc, "op4_suffix_dedup": op4_suffix_dedup, "op5_secret_scan": op5_secret_scan, "op6_pii": op6_pii, "op7_language_id": op7_language_id, "op8_bpe": op8_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_minhash": op10_minhash}
 
 ORACLE = {
+    "op3_warc": """
+        select page_id, strlen(coalesce(html, ''))::bigint as payload_bytes, sha256(coalesce(html, '')) as payload_digest,
+               case when strlen(coalesce(html, '')) >= 100 and page_id <> min(page_id) over w then 'revisit' else 'response' end as record_type,
+               case when strlen(coalesce(html, '')) >= 100 and page_id <> min(page_id) over w then min(page_id) over w end as refers_to
+        from pages window w as (partition by coalesce(html, ''))""",
     "op9_exact_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
