@@ -102,3 +102,11 @@ def store(df: DataFrame, what: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """docs but for the rows whose id is in dropped.id. Only rows that a sieve of the dropped ids lets through are moved to compare; null ids stay."""
+    ids = cut(dropped.select(F.col("id").cast("long").alias("__id")).where("__id is not null").distinct())
+    marked = passes(docs.withColumn("__id", F.col(id_col).cast("long")), F.xxhash64("__id"), cut(sieve(ids.select(F.xxhash64("__id").alias("key")))))
+    sure, maybe = marked.where("not _maybe"), marked.where("_maybe").join(ids, "__id", "left_anti")
+    return sure.select(*docs.columns).unionByName(maybe.select(*docs.columns))
