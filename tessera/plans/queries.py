@@ -320,3 +320,66 @@ def event_windows(spark, sf_dir):
 def cube_counts(spark, sf_dir):
     """Spark-supplied: grouping sets."""
     return _t(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("qty"))
+
+
+@_query()
+def checksums(spark, sf_dir):
+    """Hashes that SQL engines lack; tested against the plain functions."""
+    from tessera.functions import registry as r
+
+    b = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.crc32(b).alias("crc32"), r.adler32(b).alias("adler32"), r.crc16(b).alias("crc16"), r.fnv1a_64(b).alias("fnv1a_64"))
+
+
+def _stream(spark, sf_dir, name):
+    path = f"{sf_dir}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
+        return source.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a file source wants a folder
+    return source.parquet(path)
+
+
+def _folder(spark, what):
+    import os
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-stream-")
+    return os.path.join(base, f"{what}-{uuid.uuid4().hex}")
+
+
+@_query(ORACLE["seq_gap_dup"])
+def stream_seq_gap_dup(spark, sf_dir):
+    """seq_gap_dup through Structured Streaming: running counters by a stateful fold, the last of each stream."""
+    from tessera.streaming.folds import drain, fold_stream
+    from tessera.wire.folds import SequenceFold
+
+    frames = _stream(spark, sf_dir, "events").selectExpr("user_id", "event_id", "(event_id div 64) % 65536 as seq", "event_type = 'error' as is_reset")
+    running = drain(fold_stream(frames, ["user_id"], "event_id", SequenceFold, "user_id long"), _folder(spark, "seq"))
+    return running.groupBy("user_id").agg(F.max_by(F.struct("frames", "gaps", "dups", "resets"), "frames").alias("s")).select("user_id", "s.frames", "s.gaps", "s.dups", "s.resets")
+
+
+@_query(ORACLE["wal_replay"])
+def stream_wal_replay(spark, sf_dir):
+    """wal_replay through Structured Streaming: a stateful fold passes on what takes effect, the last of each key stays."""
+    from tessera.operators.journal import replay
+    from tessera.streaming.folds import drain, fold_stream
+    from tessera.wire.folds import JournalFold
+
+    ops = _stream(spark, sf_dir, "events").selectExpr("user_id", "event_id as page", "0L as slot", "if(event_type = 'error', 'DELETE', 'INSERT') as op", "cast(cast(value as string) as binary) as bytes")
+    done = drain(fold_stream(ops, ["user_id"], "page", JournalFold, "user_id long"), _folder(spark, "wal"))
+    last = replay(done.withColumnRenamed("page", "event_id"), ["user_id"], "event_id", F.col("bytes").isNull(), ["bytes"])
+    return last.select("user_id", F.col("bytes").cast("string").cast("double").alias("value"), "event_id")
+
+
+@_query("""
+    with m as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as msg_id from events)
+    select user_id, msg_id from m""")
+def delivery_fold(spark, sf_dir):
+    """Count-bounded delivery as a stateful fold in batch: all messages arrive, so all are released once."""
+    from tessera.streaming.folds import fold_batch
+    from tessera.wire.folds import DeliveryFold
+
+    messages = _t(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(row_number() over (partition by user_id order by event_id) as bigint) as msg_id")
+    return fold_batch(messages, ["user_id"], "event_id", DeliveryFold, "user_id long").select("user_id", "msg_id")
