@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -34,6 +35,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most rows rows for what runs inside: for rows of many KB, of which 10,000 would fill a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,20 +58,20 @@ SIEVE_BUCKETS = 256
 _BITS = 32_768
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    at = F.pmod(key, F.lit(SIEVE_BUCKETS * _BITS))
+def _slot(key: Column, buckets: int) -> tuple[Column, Column]:
+    at = F.pmod(key, F.lit(buckets * _BITS))
     return F.floor(at / _BITS).cast("int"), F.pmod(at, F.lit(_BITS)).cast("int")
 
 
-def sieve(keys: DataFrame) -> DataFrame:
-    """At most SIEVE_BUCKETS rows (bucket, bits) that hold a bit for each of keys.key."""
-    bucket, bit = _slot(F.col("key"))
+def sieve(keys: DataFrame, buckets: int = SIEVE_BUCKETS) -> DataFrame:
+    """At most buckets rows (bucket, bits) that hold a bit for each of keys.key."""
+    bucket, bit = _slot(F.col("key"), buckets)
     return keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
 
 
-def passes(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
-    """rows with a column _maybe: whether the key's bit is set."""
-    bucket, bit = _slot(key)
+def passes(rows: DataFrame, key: Column, bits: DataFrame, buckets: int = SIEVE_BUCKETS) -> DataFrame:
+    """rows with a column _maybe: whether the key's bit is set in a sieve of as many buckets."""
+    bucket, bit = _slot(key, buckets)
     rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
     rows = rows.join(F.broadcast(bits), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")

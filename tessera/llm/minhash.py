@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mix, _powers
-from .common import components, cut, passes, sieve
+from .common import components, cut, passes, sieve, small_batches
 
 BINS, BANDS, ROWS = 96, 24, 4
 #: Buckets of at most so many documents are finished in one round.
 SMALL_BUCKET = 48
+#: Rows with texts or sets in one Arrow batch. Everything that runs in Python is written before the result is returned.
+ARROW_ROWS = 500
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -147,8 +149,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = np.concatenate((x, y))
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -172,6 +174,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with equal word sequences only. Rows with a null id get a row with a null component and take no part
     in links; repeated ids are one document if their texts are equal. Only the two columns are read.
     """
+    with small_batches(docs.sparkSession, ARROW_ROWS):
+        return _near_duplicates(docs, id_col, text_col, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     sig = cut(signatures(docs, words, id_col, text_col))
     live = sig.where("n > 0 and id is not null")
     reps = cut(live.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
