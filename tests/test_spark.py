@@ -141,3 +141,25 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tree_queries_and_datasource(spark, tmp_path):
+    from tessera.operators import tree
+    from tessera.sources.datasource import register
+    from tessera.sources.formats import decode, mdb_records
+
+    data = bpk.encode([{"type": "DATA", "id": 3, "records": [("UINT", 1), ("GROUP", [("UINT", 2), ("UINT", 3), ("STRING", b"s")])]}, {"type": "DATA", "id": 3, "item_count": 9}, {"type": "METADATA", "records": [("KEYVAL", (b"k", ("UINT", 7))), ("KEYVAL", (b"k", ("INT", 8)))]}])
+    (tmp_path / "a.bpk").write_bytes(data)
+    register(spark)
+    read = lambda view: spark.read.format("bpk").option("view", view).load(str(tmp_path))
+    nodes, sections = read("records"), read("sections")
+    assert [r.u64 for r in tree.collect_records(nodes, "UINT", section=0).collect()] == [1, 2, 3]
+    assert tree.collect_records(nodes, "UINT", recursive=False).count() == 1
+    assert tree.find_section(sections, ident=3).first().section_idx == 0 and tree.find_sections(sections, "DATA").count() == 2
+    value = tree.metadata_value(read("metadata"), b"k")
+    assert value.select(tree.typed("UINT"), tree.typed("INT")).collect() == [(7, None)]
+    assert tree.tree_stats(nodes).first()[1:] == (1, 0, 2, 6, 1) and tree.item_count_mismatches(sections).count() == 1
+    fields = [("NULL", None), ("BOOL", True), ("INT", -7), ("STRING_REF", 1), ("STRING_REF", 9), ("INLINE_STRING", b"x"), ("BLOB", b"ab")]
+    rows = tree.project_row(mdb_records(files(spark, a=store(records=[fields[:3]], journal=[("INSERT", 0, 1, mdb.encode_record(fields))])))).orderBy("slot").collect()
+    assert rows[1]["values"] == ["null", "true", "-7", "world", "#9", "x", "blob[2]"]
+    assert decode(files(spark, a=data), "bpk", "records").count() == nodes.count()
