@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -32,7 +33,16 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: lost executors cannot take them, and the plan starts anew."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _settle(df.sparkSession)
+    return out
+
+
+def _settle(spark: SparkSession) -> None:
+    """Lets go of what finished steps left: their shuffle files, once nothing refers to them, and the driver's memory."""
+    for _ in range(2):  # the first one frees what holds the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 @contextlib.contextmanager
@@ -112,9 +122,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def store(df: DataFrame, what: str) -> DataFrame:
     """Like cut, as compressed Parquet: for tables too large for a checkpoint's plain rows."""
-    path = fresh_dir(df.sparkSession, what)
+    spark, schema = df.sparkSession, df.schema
+    path = fresh_dir(spark, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    _settle(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        drop_path(table.sparkSession, path)
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:

@@ -12,20 +12,26 @@ group with another:
    window's LENGTH bytes. Equal groups are exactly the repeated windows, and all but the first place of each are removed.
 
 Groups are never gathered: each pass keeps, for a digit, only a count or the first place, aggregated
-before the shuffle, and a join hands it back. Digits are 64-bit hashes, in passes 2 and 3 together with that of the gram.
+before the shuffle, and a join hands it back. Digits are 64-bit hashes, in pass 2 together with that of the gram.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _mix, ragged
-from .common import cut, passes, sieve, store
+from .common import cut, discard, passes, sieve, store
 
 LENGTH, GRAM = 100, 32
+#: Buckets of the sieve that holds the repeated grams: 4096 x 4 KB, a broadcast of 16 MB at most.
+SIEVE = 4096
+#: Shares in which windows are compared, by a digit of their hash.
+PASSES = 4
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 _tables: dict = {}
@@ -118,7 +124,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield from _flat(batches, parts)
 
     repeated = src.select("t").mapInArrow(first_digits, "g bigint").groupBy("g").count().where("count > 1").select("g")
-    bits = cut(sieve(repeated.select(F.xxhash64("g").alias("key"))))
+    bits = cut(sieve(repeated.select(F.xxhash64("g").alias("key")), SIEVE))
 
     def all_runs(batches):
         def parts(b):
@@ -131,15 +137,19 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         yield from _flat(batches, parts)
 
-    rows = passes(src.mapInArrow(all_runs, "d bigint, s bigint, n int, g bigint, r bigint"), F.xxhash64("g"), bits).where("_maybe").drop("_maybe")
+    rows = passes(src.mapInArrow(all_runs, "d bigint, s bigint, n int, g bigint, r bigint"), F.xxhash64("g"), bits, SIEVE).where("_maybe").drop("_maybe")
     rows = store(rows, "runs")
     place = F.struct("d", "s")
-    firsts = rows.groupBy("g", "r").agg(F.min(F.struct("d", "s", "n")).alias("f"))
+    digits = store(rows.groupBy("g", "r").agg(F.min(F.struct("d", "s", "n")).alias("f"), F.count("*").alias("c")), "digits")
     # Only runs that occur more than once need to be told which place is the first.
-    later = rows.join(rows.groupBy("g", "r").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), ["g", "r"]).where(place > F.col("f"))
-    full = later.select("d", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi"))
-    open_grams = firsts.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    apart = store(firsts.join(open_grams, "g", "left_semi").select("f.d", "f.s", "f.n"), "open")
+    first = digits.where("c > 1").select("g", "r", F.struct("f.d", "f.s").alias("f"))
+    later = rows.join(first, ["g", "r"]).where(place > F.col("f"))
+    full = store(later.select("d", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi")), "full")
+    del later
+    discard(rows)
+    open_grams = digits.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    apart = store(digits.join(open_grams, "g", "left_semi").select("f.d", "f.s", "f.n"), "open")
+    discard(digits)
     wanted = apart.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("runs"))
 
     def windows(batches):
@@ -156,9 +166,15 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     maybe = passes(src, F.xxhash64("d"), cut(sieve(apart.select(F.xxhash64("d").alias("key")).distinct()))).where("_maybe").select("d", "t")
     win = store(maybe.join(wanted, "d").mapInArrow(windows, "d bigint, s bigint, w bigint"), "windows")
-    again = win.groupBy("w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-    single = win.join(again, "w").where(place > F.col("f")).select("d", F.col("s").alias("lo"), F.col("s").alias("hi"))
-    covers = store(full.unionByName(single), "covers")
+    single = []
+    for k in range(PASSES):  # one leading digit at a time: a pass shuffles its share, which the next one finds deleted
+        digit = win.where(F.pmod("w", F.lit(PASSES)) == k)
+        again = store(digit.groupBy("w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "again")
+        single.append(store(digit.join(again, "w").where(place > F.col("f")).select("d", F.col("s").alias("lo"), F.col("s").alias("hi")), "single"))
+        discard(again)
+    discard(win)
+    discard(apart)
+    covers = functools.reduce(DataFrame.unionByName, single, full)
     per_doc = covers.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
 
     def remove(batches):
