@@ -92,18 +92,21 @@ def passes(rows: DataFrame, key: Column, bits: DataFrame, buckets: int = SIEVE_B
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: ``(node, component)`` with the smallest node as name.
 
-    Each round maps every node to the smallest of itself and its neighbours and contracts the edges;
-    a component's smallest node maps to itself in every round, so it is the one that remains. Rounds
-    are at most logarithmic in the longest chain of a component. Only keyed aggregations and equi-joins are used, and what
+    Each round maps every node to the one of itself and its neighbours that comes first in a hash order of
+    that round, and contracts the edges; as the order is new in every round, long chains shrink by a
+    share each time, and rounds are logarithmic. Only keyed aggregations and equi-joins are used, and what
     a hub receives is aggregated before the shuffle. Nodes without edges are not returned; null ends
     and self loops are ignored.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = None
+    labels, turn = None, 0
     while True:
+        turn += 1
+        first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("to")))
+        near = both.groupBy("u").agg(F.min(first("v")).alias("m"))
+        near = cut(near.select(F.col("u").alias("node"), F.least(first("u"), "m")["v"].alias("to")))
         if near.isEmpty():
             break
         if labels is None:
@@ -116,8 +119,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = e.join(left, "u").join(right, "v").where("p <> q")
         e = cut(e.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
     if labels is None:
-        labels = e.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
-    return labels
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    names = labels.groupBy("component").agg(F.min("node").alias("name"))
+    return labels.join(names, "component").select("node", F.col("name").alias("component"))
 
 
 def store(df: DataFrame, what: str) -> DataFrame:
