@@ -5,14 +5,14 @@ signature holds the least hash of each bin, and an empty bin takes that of the f
 random order of its own. BANDS keys of ROWS values each put a document into buckets. Documents with
 equal sets are one from here on.
 
-Within a bucket the candidates are a star: the centre is the document with the largest buckets over all
-bands (the one most others resemble), and it is compared with all others. Every candidate link is
-confirmed on the full sets. Where a bucket then still holds documents of several components, further
-centres follow in rounds, each compared with all that is outside its component. All of a small bucket
-become centres at once, so none of its pairs is passed over unless the two are already connected. A
-large bucket gets one more centre a round, for as long as a round confirms any new link; pairs of it
-that no centre was part of are left to the other bands, whose buckets and centres are others. Pairs are
-thus in proportion to the rows of the buckets and not to their squares.
+Candidates come in two rounds, and every candidate link is confirmed on the full sets. The first is a star
+in each bucket: the centre is the document with the largest buckets over all bands (the one most others
+resemble), and it is compared with all others. The second finishes, exactly and whatever their size, all
+buckets that then still hold documents of several components: a prefix filter over their documents.
+Shingles are ordered from rare to frequent; of two sets that are alike enough, the rarest common shingle
+is among the first few of both, how many follows from the sizes and the threshold. So what many share
+(a licence, a template) gives no candidates, no linked pair of an open bucket is passed over unless the
+two are already connected, and pairs are not in proportion to the squares of the buckets.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .bpe import _mix, _powers
 from .common import components, cut, passes, sieve, small_batches
 
 BINS, BANDS, ROWS = 96, 24, 4
-#: Buckets of at most so many documents are finished in one round.
-SMALL_BUCKET = 48
+#: Counters that stand for the frequencies of shingles; where they are shared, the order is less sharp and the pairs the same.
+SLOTS = 1 << 18
 #: Rows with texts or sets in one Arrow batch. Everything that runs in Python is written before the result is returned.
 ARROW_ROWS = 500
 
@@ -165,6 +165,66 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in sets.s, in SLOTS counters by their low bits."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for v in batch.column(0):
+                total += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    got = sets.select("s").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _prefixes(held: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
+    """(rep, c, n, token, at, low) for the first shingles of each set in (rep, c, s), rare ones first.
+
+    At least num / den of a set's n shingles are common to any set it is linked with, so the first common one is among
+    the first n - ceil(n * num / den) + 1; low marks those that suffice where the other set is not smaller.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["rep", "c", "n", "token", "at", "low"]
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                first, size, cut_low = [], [], []
+                for v in part.column(2):
+                    s = np.frombuffer(v.as_buffer(), np.uint64)
+                    n = len(s)
+                    order = np.lexsort((s, often[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))
+                    first.append(s[order[: n + (-n * num // den) + 1]].view(np.int64))
+                    size.append(n)
+                    cut_low.append(n + (-2 * n * num // (den + num)) + 1)
+                each = np.array([len(f) for f in first])
+                at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                rows = np.repeat(np.arange(part.num_rows), each)
+                columns = [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(np.array(size)[rows], pa.int64()), pa.array(np.concatenate(first), pa.int64()), pa.array(at, pa.int64()), pa.array(at < np.array(cut_low)[rows], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return held.select("rep", "c", "s").mapInArrow(run, "rep bigint, c bigint, n bigint, token bigint, at bigint, low boolean")
+
+
+def _alike(held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components c in (rep, c, s), all those with den * |intersection| >= num * |union| among them."""
+    first = cut(_prefixes(held, _frequencies(held), num, den))
+    x = first.where("low").select("token", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "at")])
+    y = first.select("token", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "at")])
+    # x is the smaller set. From the first common shingle on, both must still have as many as the intersection needs.
+    ok = f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_rep < y_rep) and x_n * {den} >= y_n * {num} and {den + num} * least(x_n - x_at, y_n - y_at) >= {num} * (x_n + y_n)"
+    return x.join(y, "token").where(ok).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: ``(<id_col>, n_shingles, component_id, kept)``.
 
@@ -187,42 +247,34 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     rows = cut(buckets.join(shared, "key"))
     weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
     rows = cut(rows.join(weight, "rep").select("key", "rep", "size", F.struct("weight", (-F.col("rep")).alias("tie")).alias("w")))
-    links = tried = sets = comp = None
-    open_rows, led = rows.withColumn("c", F.col("rep")), None
-    while True:
-        # Buckets in which documents that were no centre yet belong to several components.
-        free = open_rows if led is None else open_rows.join(led, ["key", "rep"], "left_anti")
-        several = free.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max_by("rep", "w").alias("centre")).where("lo <> hi")
-        if led is None:
-            centres = several.select("key", "centre")
-        else:
-            centres = free.join(several.select("key", "centre"), "key").where((F.col("size") <= SMALL_BUCKET) | (F.col("rep") == F.col("centre"))).select("key", F.col("rep").alias("centre"))
-        centres = cut(centres)
-        if centres.isEmpty():
-            break
-        mine = open_rows.select("key", F.col("rep").alias("centre"), F.col("c").alias("cc")).join(centres, ["key", "centre"])
-        pairs = open_rows.join(mine, "key").where("c <> cc").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if sets is None:
-            ids = rows.select(F.col("rep").alias("id")).distinct()
-            sets = cut(_sets_of(docs, ids, words, id_col, text_col))
-        found = cut(_confirmed(pairs, sets, percent, 100))
-        if found.isEmpty() and led is not None:
-            break
-        tried = pairs if tried is None else cut(tried.unionByName(pairs))
-        links = found if links is None else cut(links.unionByName(found))
-        led_now = centres.select("key", F.col("centre").alias("rep"))
-        led = led_now if led is None else cut(led.unionByName(led_now))
-        comp = components(links)
-        open_rows = cut(rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", "w", F.coalesce("component", "rep").alias("c")))
+    comp = above = None
+    centres = rows.groupBy("key").agg(F.max_by("rep", "w").alias("centre"))
+    pairs = rows.join(centres, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
+    pairs = cut(pairs.distinct())
+    if not pairs.isEmpty():
+        sets = cut(_sets_of(docs, rows.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col))
+        links = cut(_confirmed(pairs, sets, percent, 100))
+        comp = cut(components(links))
+        named = cut(rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")))
+        several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        left = named.join(several, "key", "left_semi").select("rep", "c").distinct()
+        left = cut(left)
+        held = cut(sets.join(left, F.col("id") == F.col("rep")).select("rep", "c", "s"))
+        more = cut(_alike(held, percent, 100).join(pairs, ["a", "b"], "left_anti"))
+        found = cut(_confirmed(more, sets, percent, 100))
+        if not found.isEmpty():
+            # The components of the first round are the nodes of the second.
+            ends = found.join(left.select(F.col("rep").alias("a"), F.col("c").alias("u")), "a").join(left.select(F.col("rep").alias("b"), F.col("c").alias("v")), "b")
+            above = components(ends, "u", "v")
     # Names so far are smallest representatives; a representative is the smallest id of its set, so they are smallest ids.
     named = live.groupBy("digest").agg(F.min("id").alias("rep"))
     if comp is not None:
         named = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     else:
         named = named.withColumnRenamed("rep", "component_id")
+    if above is not None:
+        above = above.select(F.col("node").alias("component_id"), F.col("component").alias("above"))
+        named = named.join(above, "component_id", "left").select("digest", F.coalesce("above", "component_id").alias("component_id"))
     out = sig.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
     comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("id")).alias("kept"))

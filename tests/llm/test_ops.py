@@ -106,6 +106,18 @@ def test_minhash_keeps_bridges(spark):
     assert {r.component_id for r in near_duplicates(table(spark, rows)).collect()} == {0}
 
 
+def test_minhash_finishes_large_buckets(spark):
+    """A family that shares a long passage (0.74 pairwise) with many separate linked pairs in its large buckets."""
+    from tessera.llm.minhash import near_duplicates
+
+    passage, rows = [f"p{i}" for i in range(170)], []
+    for i in range(150):
+        for j in (2 * i, 2 * i + 1):
+            rows.append((j, " ".join([*passage, *[f"s{i}x{m}" for m in range(10)], *[f"o{j}x{m}" for m in range(20)]])))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(spark, rows), words=1).collect()}
+    assert got == {j: j - j % 2 for j in range(300)}
+
+
 def test_suffix_dedup(spark, corpus):
     from tessera.llm.suffix_dedup import repeated_substrings
 
