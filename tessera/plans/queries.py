@@ -299,6 +299,12 @@ def hex_escape(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("doc_id"), 8, "0"))).alias("id_hex"), F.lower(F.hex(F.substring("text", 1, 16).cast("binary"))).alias("head_hex"))
 
 
+@_query("select doc_id, lower(hex(encode(text))) as text_hex from documents")
+def hex_text(spark, sf_dir):
+    """hex_escape renders heads only, as its SQL says; this one renders whole texts."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(F.col("text").cast("binary"))).alias("text_hex"))
+
+
 @_query("""
     select doc_id, i::int as frag_idx, (i * 1000)::int as frag_offset, substr(text, (i * 1000 + 1)::bigint, 1000) as fragment, i = greatest(1, ceil(length(text) / 1000.0))::bigint - 1 as is_fin
     from (select doc_id, text, unnest(range(0, greatest(1, ceil(length(text) / 1000.0))::bigint)) as i from documents)""")

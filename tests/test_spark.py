@@ -163,3 +163,11 @@ def test_tree_queries_and_datasource(spark, tmp_path):
     rows = tree.project_row(mdb_records(files(spark, a=store(records=[fields[:3]], journal=[("INSERT", 0, 1, mdb.encode_record(fields))])))).orderBy("slot").collect()
     assert rows[1]["values"] == ["null", "true", "-7", "world", "#9", "x", "blob[2]"]
     assert decode(files(spark, a=data), "bpk", "records").count() == nodes.count()
+
+
+def test_hex_of_whole_texts(spark):
+    from tessera.plans.queries import QUERIES
+
+    got = {r.doc_id: r.text_hex for r in QUERIES["hex_text"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert got == {i: None if t is None else t.encode().hex() for i, t in texts.items()} and max(map(len, filter(None, got.values()))) > 1000
