@@ -4,8 +4,8 @@ Everything is DataFrame expressions, evaluated row by row without a shuffle. A c
 at least MIN_LENGTH key characters with a letter and a digit. It belongs to the narrowest character
 class that holds all of it; the class gives the window and the entropy from which it is reported. The
 entropy of the next window comes from the counts of the one character that leaves and the one that
-enters: with S = sum of c * log2(c) over the window's counts, H = log2(w) - S / w. Candidates that the
-allow list matches are suppressed; matches of the fixed patterns never are.
+enters: with S = sum of c * log2(c) over the window's counts, H = log2(w) - S / w. Windows that overlap
+a match of the allow list do not count; matches of the fixed patterns are never suppressed.
 """
 
 from __future__ import annotations
@@ -56,11 +56,11 @@ def peak_entropy(s: Column, window: int) -> Column:
 
 
 def _suspicious(s: Column) -> Column:
-    verdict = F.lit(False)
+    verdict, pieces = F.lit(False), F.filter(F.split(s, ALLOW), lambda x: F.char_length(x) >= MIN_LENGTH)
     for pattern, window, bits in reversed(CLASSES):
-        ok = peak_entropy(s, window) >= bits
+        ok = F.exists(pieces, lambda x: peak_entropy(x, window) >= bits)  # noqa: B023
         verdict = ok if not pattern else F.when(s.rlike(pattern), ok).otherwise(verdict)
-    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike(ALLOW), verdict).otherwise(False)
+    return F.when(s.rlike("[0-9]") & s.rlike("[A-Za-z]"), verdict).otherwise(False)
 
 
 def secret_spans(text: Column) -> Column:

@@ -216,6 +216,16 @@ def test_secrets(spark):
     assert all(abs(r.h - entropy_peak(r.s, 20)) < 1e-9 for r in rows)
 
 
+def test_secrets_beside_allowed_runs(spark):
+    """An allow-list match covers the windows it overlaps, not the whole candidate."""
+    from tessera.llm.secret_scan import scan_secrets
+
+    key = "b3BlbnNzaC1rZXktdjE5Zq7Xw2Kd"
+    texts = [key + "AAAAAA" + "BG5vbmU", "example" + key, "0123456789" + key, key[:10] + "AAAAAA" + key[10:20], "example" * 4 + "1"]
+    got = {r.doc_id: [tuple(x) for x in r.secret_spans] for r in scan_secrets(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: [(0, 3, len(t))] if i < 3 else [] for i, t in enumerate(texts)}
+
+
 def luhn(s):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 
