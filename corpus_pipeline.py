@@ -14,8 +14,13 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def language(spark, docs, sf_dir):
-    """Drops documents without a recognisable language: null or letterless texts, and scores under LEAST_LANGUAGE_SCORE."""
+    """Drops documents without a recognisable language: null or letterless texts, and scores under LEAST_LANGUAGE_SCORE.
+
+    Where no row has a label, no language can be recognised; all texts with a letter are kept then.
+    """
     model = language_id.train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(docs.select(*[F.col(c) for c in docs.columns]), model)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 

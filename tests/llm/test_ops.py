@@ -226,6 +226,14 @@ def test_secrets_beside_allowed_runs(spark):
     assert got == {i: [(0, 3, len(t))] if i < 3 else [] for i, t in enumerate(texts)}
 
 
+def test_pipeline_without_labels(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+
+    rows = [(1, "the quick brown fox", None), (2, "été", None), (3, "123 456", None), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in pipeline.language(spark, docs, None).collect()} == {1, 2}
+
+
 def luhn(s):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 
