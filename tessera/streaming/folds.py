@@ -20,7 +20,7 @@ def _names(schema: str) -> list[str]:
 
 
 def fold_batch(rows: DataFrame, keys: list[str], order: str, make, key_schema: str) -> DataFrame:
-    """(keys, the fold's columns) for everything the fold of each key yields."""
+    """(keys, the fold's columns) for everything the fold of each key yields; what a fold holds back is flushed at the end of its key."""
     names = [*_names(key_schema), *_names(make().SCHEMA)]
 
     def run(key, frame):
@@ -28,6 +28,7 @@ def fold_batch(rows: DataFrame, keys: list[str], order: str, make, key_schema: s
 
         fold = make()
         out = [(*key, *o) for r in _rows(frame, order) for o in fold.step(r)]
+        out += [(*key, *o) for o in getattr(fold, "flush", tuple)()]
         return pd.DataFrame(out, columns=names)
 
     return rows.groupBy(*keys).applyInPandas(run, f"{key_schema}, {make().SCHEMA}")

@@ -171,3 +171,12 @@ def test_hex_of_whole_texts(spark):
     got = {r.doc_id: r.text_hex for r in QUERIES["hex_text"](spark, SF).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     assert got == {i: None if t is None else t.encode().hex() for i, t in texts.items()} and max(map(len, filter(None, got.values()))) > 1000
+
+
+def test_fold_batch_releases_what_waits_behind_a_hole(spark):
+    from tessera.streaming.folds import fold_batch
+    from tessera.wire.folds import DeliveryFold
+
+    rows = spark.createDataFrame([(1, n, m) for n, m in enumerate([0, 3, 2, 2, 7, 6])] + [(2, 0, 5)], "user_id long, arrival long, msg_id long")
+    got = fold_batch(rows, ["user_id"], "arrival", DeliveryFold, "user_id long").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, 0), (1, 2, 1, 1), (1, 3, 1, 1), (1, 6, 2, 1), (1, 7, 2, 1), (2, 5, 0, 0)]
