@@ -18,13 +18,14 @@ from .common import cut, passes, sieve
 PREFIX_CHARS = 256
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
     """One row per row of docs: ``(<id_col>, keep_id, group_size, kept)``.
 
     Texts are equal when identical; null counts as the empty text. Of equal texts the row with the
     largest id stays. Rows with a null id take part (they are kept only in a group without other ids,
     whose keep_id is then null). Repeated rows with the same id count each in group_size and are all
     kept if that id is. An empty table gives an empty result; other columns are not looked at.
+    digest_col names a further column with the SHA-256 of each row's text.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
@@ -34,9 +35,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     long_enough = passes(lean, F.xxhash64("_n"), sieve(by_length)).where("_maybe")
     by_prefix = long_enough.groupBy("_n", "_p").count().where("count > 1").select(F.xxhash64("_n", "_p").alias("key"))
     full = passes(base.withColumn("_n", n).withColumn("_p", prefix), F.xxhash64("_n", "_p"), sieve(by_prefix))
-    full = full.select("_id", "_n", F.when(F.col("_maybe"), F.sha2(F.col("_t").cast("binary"), 256)).alias("_h"))
+    full = full.select("_id", "_n", F.when(F.col("_maybe"), F.sha2(F.col("_t").cast("binary"), 256)).alias("_h"), *([F.sha2(F.col("_t").cast("binary"), 256).alias("_d")] if digest_col else []))
     groups = full.where("_h is not null").groupBy("_n", "_h").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
     # The hot side of this join is split by the adaptive skew join; the other has one row per group.
     out = full.join(groups, ["_n", "_h"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
-    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"))
+    return out.select(F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("_id")).alias("kept"), *([F.col("_d").alias(digest_col)] if digest_col else []))

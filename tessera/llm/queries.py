@@ -12,9 +12,7 @@ def _table(spark, sf_dir, name):
 def op9_exact_dedup(spark, sf_dir):
     from .exact_dedup import exact_dedup
 
-    docs = _table(spark, sf_dir, "documents")
-    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(_table(spark, sf_dir, "documents"), digest_col="text_sha256")
 
 
 def op1_packing(spark, sf_dir):

@@ -52,6 +52,18 @@ def test_exact_dedup(spark, corpus):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in odd) == [("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), ("None", "None", 1, True)]
 
 
+def test_exact_dedup_query_keeps_all_rows(spark, tmp_path):
+    """Null and repeated ids are one row each."""
+    from tessera.llm.queries import QUERIES
+
+    rows = [(None, "a"), (1, "b"), (1, "c"), (2, "b"), (3, None)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["op9_exact_dedup"](spark, str(tmp_path)).collect()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(None, None, 1, True, sha("a")), (1, 2, 2, False, sha("b")), (1, 1, 1, True, sha("c")), (2, 2, 2, True, sha("b")), (3, 3, 1, True, sha(""))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_same_length_and_prefix(spark):
     from tessera.llm.exact_dedup import exact_dedup
 
