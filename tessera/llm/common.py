@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import contextlib
-import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local master may leave it unset, and gets a temporary one."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = sc.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tessera-shared-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
@@ -33,16 +33,16 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: lost executors cannot take them, and the plan starts anew."""
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _settle(df.sparkSession)
-    return out
+    return df.checkpoint(eager=True)
+
 
+def dealt_anew(key: Column) -> Column:
+    """A long key with the same value that the planner does not know to be dealt by already.
 
-def _settle(spark: SparkSession) -> None:
-    """Lets go of what finished steps left: their shuffle files, once nothing refers to them, and the driver's memory."""
-    for _ in range(2):  # the first one frees what holds the rest
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    Joined on it, an aggregate gets an exchange of its own, and adaptive execution can split the hot keys of the
+    other side; without one it cannot.
+    """
+    return F.bitwise_not(F.bitwise_not(key))
 
 
 @contextlib.contextmanager
@@ -63,65 +63,61 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Bit maps of 32,768 bits each that a sieve has: 256 x 4 KB = 1 MB broadcast at most.
+#: Bit maps of 512 words of 64 bits each that a sieve has: 256 x 4 KB = 1 MB broadcast, whatever the input.
 SIEVE_BUCKETS = 256
-_BITS = 32_768
+_WORDS = 512
 
 
-def _slot(key: Column, buckets: int) -> tuple[Column, Column]:
-    at = F.pmod(key, F.lit(buckets * _BITS))
-    return F.floor(at / _BITS).cast("int"), F.pmod(at, F.lit(_BITS)).cast("int")
+def _slot(key: Column) -> tuple[Column, Column, Column]:
+    """Bucket, word and bit of a long key."""
+    at = F.pmod(key, F.lit(SIEVE_BUCKETS * _WORDS * 64))
+    return F.shiftright(at, 15).cast("int"), F.shiftright(at, 6).bitwiseAND(F.lit(_WORDS - 1)).cast("int"), at.bitwiseAND(F.lit(63)).cast("int")
 
 
-def sieve(keys: DataFrame, buckets: int = SIEVE_BUCKETS) -> DataFrame:
-    """At most buckets rows (bucket, bits) that hold a bit for each of keys.key."""
-    bucket, bit = _slot(F.col("key"), buckets)
-    return keys.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("_bits"))
+def sieve(keys: DataFrame) -> DataFrame:
+    """SIEVE_BUCKETS rows (_bucket, _bits) that hold a bit for each of keys.key."""
+    bucket, word, bit = _slot(F.col("key"))
+    one = F.lit(1).cast("long")
+    held = keys.groupBy(bucket.alias("_bucket"), word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("_set"))
+    at = F.col("id")
+    none = keys.sparkSession.range(SIEVE_BUCKETS * _WORDS).select((at / _WORDS).cast("int").alias("_bucket"), (at % _WORDS).cast("int").alias("_word"), F.lit(0).cast("long").alias("_set"))
+    words = held.unionByName(none).groupBy("_bucket", "_word").agg(F.bit_or("_set").alias("_set"))
+    row = F.sort_array(F.collect_list(F.struct("_word", "_set")))
+    return words.groupBy("_bucket").agg(F.transform(row, lambda x: x["_set"]).alias("_bits"))
 
 
-def passes(rows: DataFrame, key: Column, bits: DataFrame, buckets: int = SIEVE_BUCKETS) -> DataFrame:
-    """rows with a column _maybe: whether the key's bit is set in a sieve of as many buckets."""
-    bucket, bit = _slot(key, buckets)
-    rows = rows.withColumn("_bucket", bucket).withColumn("_bit", bit)
+def passes(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """rows with a column _maybe: whether the key's bit is set in a sieve."""
+    bucket, word, bit = _slot(key)
+    rows = rows.withColumn("_bucket", bucket).withColumn("_word", word).withColumn("_bit", bit)
     rows = rows.join(F.broadcast(bits), "_bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
-    maybe = F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))
-    return rows.withColumn("_maybe", maybe).drop("_bucket", "_bit", "_bits")
+    maybe = F.getbit(F.element_at("_bits", F.col("_word") + 1), F.col("_bit")) == 1
+    return rows.withColumn("_maybe", F.coalesce(maybe, F.lit(False))).drop("_bucket", "_word", "_bit", "_bits")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: ``(node, component)`` with the smallest node as name.
 
-    Each round maps every node to the one of itself and its neighbours that comes first in a hash order of
-    that round, and contracts the edges; as the order is new in every round, long chains shrink by a
-    share each time, and rounds are logarithmic. Only keyed aggregations and equi-joins are used, and what
-    a hub receives is aggregated before the shuffle. Nodes without edges are not returned; null ends
-    and self loops are ignored.
+    Alternates two steps until every node points at the root of a star: each node hands all its larger neighbours to
+    its least one, then all its smaller neighbours. Stars take one round and long chains a logarithmic number.
+    Only keyed aggregations and equi-joins are used, and what a hub receives is aggregated before the shuffle.
+    Nodes without edges are not returned; null ends and self loops are ignored.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    e = cut(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels, turn = None, 0
+    u, v = F.col(a).cast("long"), F.col(b).cast("long")
+    e = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v)).distinct())
     while True:
-        turn += 1
-        first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))  # noqa: E731, B023
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.min(first("v")).alias("m"))
-        near = cut(near.select(F.col("u").alias("node"), F.least(first("u"), "m")["v"].alias("to")))
-        if near.isEmpty():
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():
             break
-        if labels is None:
-            labels = near.withColumnRenamed("to", "component")
-        else:
-            step = near.select(F.col("node").alias("component"), "to")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = cut(labels)
-        left, right = near.select(F.col("node").alias("u"), F.col("to").alias("p")), near.select(F.col("node").alias("v"), F.col("to").alias("q"))
-        e = e.join(left, "u").join(right, "v").where("p <> q")
-        e = cut(e.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
-    if labels is None:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
-    names = labels.groupBy("component").agg(F.min("node").alias("name"))
-    return labels.join(names, "component").select("node", F.col("name").alias("component"))
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew(F.col("u")).alias("v"), F.least("u", "m").alias("m"))
+        large = e.join(least, "v").select("u", F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew(F.col("u")).alias("u"), "m")
+        small = large.join(least, "u").select("u", "v", "m")
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        e = cut(small.select("x.u", "x.v").where("u <> v").distinct())
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def store(df: DataFrame, what: str) -> DataFrame:
@@ -129,8 +125,6 @@ def store(df: DataFrame, what: str) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = fresh_dir(spark, what)
     df.write.parquet(path)
-    del df
-    _settle(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -140,9 +134,23 @@ def discard(table: DataFrame) -> None:
         drop_path(table.sparkSession, path)
 
 
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """docs but for the rows whose id is in dropped.id. Only rows that a sieve of the dropped ids lets through are moved to compare; null ids stay."""
-    ids = cut(dropped.select(F.col("id").cast("long").alias("__id")).where("__id is not null").distinct())
-    marked = passes(docs.withColumn("__id", F.col(id_col).cast("long")), F.xxhash64("__id"), cut(sieve(ids.select(F.xxhash64("__id").alias("key")))))
-    sure, maybe = marked.where("not _maybe"), marked.where("_maybe").join(ids, "__id", "left_anti")
-    return sure.select(*docs.columns).unionByName(maybe.select(*docs.columns))
+def row_digest(text: Column) -> Column:
+    """What tells texts apart where rows are joined back: the SHA-256 of the text, null as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
+def without_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs but for the documents that verdicts (id, digest, drop) drop; of those with drop false, one row each stays.
+
+    A document is a row's id (null is one too) and text, of which digest is the row_digest. Documents without a verdict
+    keep all their rows. Only rows whose id passes a sieve of the ids in verdicts are moved to compare.
+    """
+    found = cut(verdicts.select(F.col("id").cast("long").alias("__i"), F.col("digest").alias("__h"), F.col("drop").alias("__drop")).distinct())
+    bits = cut(sieve(found.select(F.xxhash64("__i").alias("key"))))
+    marked = passes(docs.withColumn("__i", F.col(id_col).cast("long")), F.xxhash64("__i"), bits)
+    sure, maybe = marked.where("not _maybe"), marked.where("_maybe").withColumn("__h", row_digest(F.col(text_col)))
+    found = found.withColumnsRenamed({"__i": "__j", "__h": "__g"})
+    maybe = maybe.join(found, (F.col("__h") == F.col("__g")) & F.col("__i").eqNullSafe(F.col("__j")), "left")
+    once = maybe.where("not __drop").dropDuplicates(["__i", "__h"])
+    names = docs.columns
+    return sure.select(*names).unionByName(maybe.where("__drop is null").select(*names)).unionByName(once.select(*names))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mix, _powers
-from .common import components, cut, passes, sieve, small_batches
+from .common import components, cut, dealt_anew, passes, row_digest, sieve, small_batches, store
 
 BINS, BANDS, ROWS = 96, 24, 4
 #: Counters that stand for the frequencies of shingles; where they are shared, the order is less sharp and the pairs the same.
@@ -103,42 +103,48 @@ def _texts(column) -> list[bytes]:
     return [(t or "").encode() for t in column.to_pylist()]
 
 
-def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, digest, keys) of each row: set size, 128-bit hash of the set, band keys (none for the empty set)."""
+def _in_parts(batches, rows: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def signatures(src: DataFrame, k: int) -> DataFrame:
+    """(id, row, n, digest, keys) of the rows (id, row, t): set size, 128-bit hash of the set, band keys (none for the empty set)."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = shingle_sets(_texts(part.column(1)), k)
-                keys = [band_keys(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "keys"],
-                )
+        for part in _in_parts(batches, 128):
+            sets = shingle_sets(_texts(part.column(2)), k)
+            keys = [band_keys(signature(s)) if len(s) else np.empty(0, np.int64) for s in sets]
+            columns = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "n", "digest", "keys"])
 
-    src = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
-    return src.mapInArrow(run, "id bigint, n bigint, digest binary, keys array<bigint>")
+    return src.mapInArrow(run, "id bigint, row binary, n bigint, digest binary, keys array<bigint>")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): the packed sets of the documents in ids.id. A sieve keeps other texts from being moved."""
+def _sets_of(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, s): the packed sets of wanted: (node, id, digest). A sieve of the ids keeps most other texts from being read in Python."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                sets = shingle_sets(_texts(part.column(1)), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "s"])
+        for part in _in_parts(batches, 128):
+            sets = shingle_sets(_texts(part.column(1)), k)
+            columns = [part.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "s"])
 
-    src = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
-    bits = sieve(ids.select(F.xxhash64("id").alias("key")))
-    src = passes(src, F.xxhash64("id"), bits).where("_maybe").select("id", "t")
-    return src.mapInArrow(run, "id bigint, s binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    bits = sieve(wanted.select(F.xxhash64("id").alias("key")))
+    some = passes(src, F.xxhash64("id"), bits).where("_maybe").select("id", "t")
+    rows = some.mapInArrow(run, "id bigint, digest binary, s binary").alias("r")
+    same = (F.col("r.digest") == F.col("w.digest")) & F.col("r.id").eqNullSafe(F.col("w.id"))
+    # Rows that repeat an id and a set give the set again; one will do.
+    return rows.join(wanted.alias("w"), same).groupBy("node").agg(F.first("s").alias("s"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,11 +163,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                 ok.append(den * common >= num * (len(both) - common))
             yield batch.filter(pa.array(ok, pa.bool_())).select([0, 1])
 
-    # Sizes alone settle many: the smaller set must have num / den of the larger one.
-    sized = sets.withColumn("size", F.octet_length("s"))
-    left = pairs.join(sized.select(F.col("id").alias("b"), F.col("s").alias("y"), F.col("size").alias("m")), "b")
-    both = left.join(sized.select(F.col("id").alias("a"), F.col("s").alias("x"), F.col("size").alias("n")), "a")
-    both = both.where(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -172,20 +175,20 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
         import pyarrow as pa
 
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for v in batch.column(0):
-                total += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        for part in _in_parts(batches, 64):
+            tokens = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64)
+            total += np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
 
-    got = sets.select("s").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    got = sets.select("s").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
 def _prefixes(held: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
-    """(rep, c, n, token, at, low) for the first shingles of each set in (rep, c, s), rare ones first.
+    """(node, c, n, token, at, low) for the first shingles of each set in (node, c, s), rare ones first.
 
     At least num / den of a set's n shingles are common to any set it is linked with, so the first common one is among
     the first n - ceil(n * num / den) + 1; low marks those that suffice where the other set is not smaller.
@@ -194,7 +197,7 @@ def _prefixes(held: DataFrame, often: np.ndarray, num: int, den: int) -> DataFra
     def run(batches):
         import pyarrow as pa
 
-        names = ["rep", "c", "n", "token", "at", "low"]
+        names = ["node", "c", "n", "token", "at", "low"]
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
@@ -212,17 +215,19 @@ def _prefixes(held: DataFrame, often: np.ndarray, num: int, den: int) -> DataFra
                 columns = [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(np.array(size)[rows], pa.int64()), pa.array(np.concatenate(first), pa.int64()), pa.array(at, pa.int64()), pa.array(at < np.array(cut_low)[rows], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return held.select("rep", "c", "s").mapInArrow(run, "rep bigint, c bigint, n bigint, token bigint, at bigint, low boolean")
+    return held.select("node", "c", "s").mapInArrow(run, "node bigint, c bigint, n bigint, token bigint, at bigint, low boolean")
 
 
-def _alike(held: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components c in (rep, c, s), all those with den * |intersection| >= num * |union| among them."""
-    first = cut(_prefixes(held, _frequencies(held), num, den))
-    x = first.where("low").select("token", *[F.col(k).alias(f"x_{k}") for k in ("rep", "c", "n", "at")])
-    y = first.select("token", *[F.col(k).alias(f"y_{k}") for k in ("rep", "c", "n", "at")])
+def _alike(held: DataFrame, often: np.ndarray, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components c in (node, c, s), all those with den * |intersection| >= num * |union| among them."""
+    first = store(_prefixes(held, often, num, den), "prefixes")
+    x = first.where("low").select("token", *[F.col(k).alias(f"x_{k}") for k in ("node", "c", "n", "at")])
+    y = first.select("token", *[F.col(k).alias(f"y_{k}") for k in ("node", "c", "n", "at")])
     # x is the smaller set. From the first common shingle on, both must still have as many as the intersection needs.
-    ok = f"x_c <> y_c and (x_n < y_n or x_n = y_n and x_rep < y_rep) and x_n * {den} >= y_n * {num} and {den + num} * least(x_n - x_at, y_n - y_at) >= {num} * (x_n + y_n)"
-    return x.join(y, "token").where(ok).select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
+    smaller = "(x_n < y_n or x_n = y_n and x_node < y_node)"
+    enough = f"x_n * {den} >= y_n * {num} and {den + num} * least(x_n - x_at, y_n - y_at) >= {num} * (x_n + y_n)"
+    both = x.join(y, "token").where(f"x_c <> y_c and {smaller} and {enough}")
+    return both.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -231,50 +236,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is
     the smallest id that links reach, kept whether it is the row's own. Null or empty texts and texts of
     white space have 0 shingles and are linked with nothing. Texts of fewer words than a shingle are linked
-    with equal word sequences only. Rows with a null id get a row with a null component and take no part
-    in links; repeated ids are one document if their texts are equal. Only the two columns are read.
+    with equal word sequences only. Every row is judged by its own text: rows that repeat an id may differ in
+    component_id. Rows with a null id take part like all others; a component without any id has a null
+    component_id, and its rows are all kept. Only the two columns are read; an empty table gives no rows.
     """
+    out = grouped(docs, id_col, text_col, words, percent)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(id, digest, drop) for common.without_rows: the first document of each group of near-duplicates stays, in one row.
+
+    First is the smallest id, of equal ids the smallest digest; a null id comes after all others.
+    """
+    each = grouped(docs, id_col, text_col, words, percent).where("node is not null").groupBy("node", "id", "row").agg(F.count("*").alias("rows"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = each.groupBy("node").agg(F.min(place).alias("first"), F.sum("rows").alias("all")).where("all > 1").select(dealt_anew(F.col("node")).alias("node"), "first")
+    found = each.join(first, "node").withColumn("drop", ~place.eqNullSafe(F.col("first")))
+    return found.where("drop or rows > 1").select("id", F.col("row").alias("digest"), "drop")
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(id, row, n, node, component_id) for each row: row_digest, set size, group of the near-duplicates (null for empty sets)."""
     with small_batches(docs.sparkSession, ARROW_ROWS):
-        return _near_duplicates(docs, id_col, text_col, words, percent)
-
-
-def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    sig = cut(signatures(docs, words, id_col, text_col))
-    live = sig.where("n > 0 and id is not null")
-    reps = cut(live.groupBy("digest").agg(F.min("id").alias("rep"), F.first("keys").alias("keys")))
-    buckets = reps.select("rep", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = cut(buckets.join(shared, "key"))
-    weight = rows.groupBy("rep").agg(F.sum("size").alias("weight"))
-    rows = cut(rows.join(weight, "rep").select("key", "rep", "size", F.struct("weight", (-F.col("rep")).alias("tie")).alias("w")))
-    comp = above = None
-    centres = rows.groupBy("key").agg(F.max_by("rep", "w").alias("centre"))
-    pairs = rows.join(centres, "key").where("rep <> centre").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b"))
-    pairs = cut(pairs.distinct())
-    if not pairs.isEmpty():
-        sets = cut(_sets_of(docs, rows.select(F.col("rep").alias("id")).distinct(), words, id_col, text_col))
-        links = cut(_confirmed(pairs, sets, percent, 100))
-        comp = cut(components(links))
-        named = cut(rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c")))
-        several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        left = named.join(several, "key", "left_semi").select("rep", "c").distinct()
-        left = cut(left)
-        held = cut(sets.join(left, F.col("id") == F.col("rep")).select("rep", "c", "s"))
-        more = cut(_alike(held, percent, 100).join(pairs, ["a", "b"], "left_anti"))
-        found = cut(_confirmed(more, sets, percent, 100))
-        if not found.isEmpty():
-            # The components of the first round are the nodes of the second.
-            ends = found.join(left.select(F.col("rep").alias("a"), F.col("c").alias("u")), "a").join(left.select(F.col("rep").alias("b"), F.col("c").alias("v")), "b")
-            above = components(ends, "u", "v")
-    # Names so far are smallest representatives; a representative is the smallest id of its set, so they are smallest ids.
-    named = live.groupBy("digest").agg(F.min("id").alias("rep"))
-    if comp is not None:
-        named = named.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named = named.withColumnRenamed("rep", "component_id")
-    if above is not None:
-        above = above.select(F.col("node").alias("component_id"), F.col("component").alias("above"))
-        named = named.join(above, "component_id", "left").select("digest", F.coalesce("above", "component_id").alias("component_id"))
-    out = sig.select("id", "n", F.when(F.col("n") > 0, F.col("digest")).alias("digest")).join(named, "digest", "left")
-    comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("id")).alias("kept"))
+        return _grouped(docs, id_col, text_col, words, percent)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    src = docs.select(F.col(id_col).cast("long").alias("id"), row_digest(F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
+    sig = store(signatures(src, words), "signatures")
+    # A node is a distinct set: its number exists once the table is written.
+    sets = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = store(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    buckets = reps.select("node", "n", F.explode("keys").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(dealt_anew(F.col("key")).alias("key"), "size")
+    rows = store(buckets.join(shared, "key"), "buckets")
+    weight = rows.groupBy("node").agg(F.sum("size").alias("weight")).select(dealt_anew(F.col("node")).alias("node"), "weight")
+    best = F.max(F.struct("weight", F.col("node").alias("centre"), F.col("n").alias("m"))).alias("best")
+    centres = rows.join(weight, "node").groupBy("key").agg(best).select(dealt_anew(F.col("key")).alias("key"), "best.centre", "best.m")
+    # Sizes alone settle many: the smaller set must have percent of the larger one.
+    pairs = rows.join(centres, "key").where((F.col("node") != F.col("centre")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    pairs = cut(pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct())
+    held = rows.select("node").distinct().join(reps.select("node", "id", "digest"), "node")
+    texts = store(_sets_of(src.select("id", "t"), cut(held), words), "texts")
+    star = components(_confirmed(pairs, texts, percent, 100))
+    named = rows.join(star.withColumnRenamed("component", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("c"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(dealt_anew(F.col("key")).alias("key"))
+    left = cut(named.join(several, "key", "left_semi").select("node", "c").distinct())
+    more = _alike(texts.join(left, "node"), _frequencies(texts), percent, 100)
+    found = _confirmed(more.join(pairs, ["a", "b"], "left_anti"), texts, percent, 100)
+    # The components of the first round are the nodes of the second.
+    ends = found.join(left.select(F.col("node").alias("a"), F.col("c").alias("u")), "a").join(left.select(F.col("node").alias("b"), F.col("c").alias("v")), "b")
+    above = components(ends, "u", "v").select(F.col("node").alias("c"), F.col("component").alias("above"))
+    group = reps.select("digest", "node", "id").join(star.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    group = group.join(above, "c", "left").select("digest", "id", F.coalesce("above", "c").alias("node"))
+    names = group.groupBy("node").agg(F.min("id").alias("component_id"))
+    named = cut(group.select("digest", "node").join(names.select(dealt_anew(F.col("node")).alias("node"), "component_id"), "node"))
+    # Rows without words share no group and go no further; the others meet their set, of which many may be copies.
+    full = sig.where("n > 0").join(named, "digest").select("id", "row", "n", "node", "component_id")
+    empty = sig.where("n = 0").select("id", "row", "n", F.lit(None).cast("long").alias("node"), F.col("id").alias("component_id"))
+    return full.unionByName(empty)
