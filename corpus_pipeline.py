@@ -16,7 +16,8 @@ LEAST_LANGUAGE_SCORE = 0.5
 def language(spark, docs, sf_dir):
     """Drops documents without a recognisable language: null or letterless texts, and scores under LEAST_LANGUAGE_SCORE.
 
-    Where no row has a label, no language can be recognised; all texts with a letter are kept then.
+    Where no row has a label, no language can be recognised; all texts with a letter are kept then. Ids are not looked
+    at, equal rows fare alike, other columns stay as they are, and an empty table stays empty.
     """
     model = language_id.train(docs)
     if not model.langs:
@@ -26,19 +27,26 @@ def language(spark, docs, sf_dir):
 
 
 def exact_copies(spark, docs, sf_dir):
-    """Keeps one document of each group of identical texts, the one with the largest id."""
-    dropped = exact_dedup.exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("id"))
-    return common.without_ids(docs, dropped, "doc_id")
+    """Keeps one document of each group of identical texts, the one with the largest id (null counts as smaller than any).
+
+    Null and empty texts are identical. Rows that repeat both id and text are one document, of which one row stays, and a
+    repeated id with another text is another document. Other columns are not compared; an empty table stays empty.
+    """
+    return common.without_rows(docs, exact_dedup.verdicts(docs))
 
 
 def near_copies(spark, docs, sf_dir):
-    """Keeps one document of each group of near copies (five words, 0.8), the one with the smallest id."""
-    dropped = minhash.near_duplicates(docs, words=5, percent=80).where("not kept").select(F.col("doc_id").alias("id"))
-    return common.without_ids(docs, dropped, "doc_id")
+    """Keeps one document of each group of near copies (five words, 0.8), the one with the smallest id (null comes last).
+
+    Texts without words are near copies of nothing and stay. A repeated id with another text is another document; of
+    near copies with the same id the one with the smallest digest stays. Rows that repeat both id and text are one
+    document, of which one row stays. Other columns are not compared; an empty table stays empty.
+    """
+    return common.without_rows(docs, minhash.verdicts(docs, words=5, percent=80))
 
 
 def secrets(spark, docs, sf_dir):
-    """Replaces every secret by a mark; n_chars follows the text."""
+    """Replaces every secret by a mark; n_chars follows the text. All rows stay; a null text stays null, with a null n_chars."""
     return secret_scan.redact_secrets(docs).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
