@@ -1,39 +1,52 @@
-"""Repeated substrings: suffixes are ordered by most-significant-digit passes, no deeper than the threshold.
+"""Repeated substrings: suffixes are told apart by most-significant-digit passes, no deeper than the threshold.
 
-Two suffixes share their first LENGTH bytes exactly if MSD radix passes to that depth leave them in one group. Ordering
-every suffix of a corpus would move it many times over, so the passes work on what can still be in a
-group with another:
+Two suffixes share their first LENGTH bytes exactly if MSD radix passes to that depth leave them in one group. Moving
+every suffix of a corpus from pass to pass would move it many times over, so one suffix stands for its neighbours
+until the passes get so deep that they differ:
 
 1. Each window of LENGTH bytes names one of its GRAM-byte grams, the least in a hash order, leftmost on ties. Equal
    windows name equal grams, and neighbouring windows mostly name the same one: a *run*. The first digit is that gram.
    Runs whose gram occurs once in the corpus hold no repeated window and are done.
-2. The second digit is the whole run. A run that occurred before is repeated in full.
-3. Runs left with an equal gram but other bytes are taken apart into their windows; the last digit is the
-   window's LENGTH bytes. Equal groups are exactly the repeated windows, and all but the first place of each are removed.
+2. The second digit is the whole run. A run that occurred before is repeated in full, and only the first of equal runs
+   goes on, if other runs share its gram.
+3. The third digit is a run's core: a run is cut where the distance of the windows from their gram is a multiple of BLOCK,
+   and the core is what all windows of such a piece share, LENGTH - BLOCK + 1 bytes. Pieces whose core occurs
+   once are done.
+4. The last digit is the window's LENGTH bytes. Equal groups are exactly the repeated windows, and all but the first
+   place of each are removed.
+
+The first and the third digit only decide what goes on, and are 64-bit hashes. The second and the last decide what
+is removed, and are 128-bit BLAKE2 digests of the very bytes.
 
 Groups are never gathered: each pass keeps, for a digit, only a count or the first place, aggregated
-before the shuffle, and a join hands it back. Digits are 64-bit hashes, in pass 2 together with that of the gram.
+before the shuffle, and a join hands it back. What one task holds is bounded by a document's own length, and texts
+are read CHUNK bytes at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import _mix, ragged
-from .common import cut, discard, passes, sieve, store
-
-LENGTH, GRAM = 100, 32
-#: Buckets of the sieve that holds the repeated grams: 4096 x 4 KB, a broadcast of 16 MB at most.
-SIEVE = 4096
-#: Shares in which windows are compared, by a digit of their hash.
-PASSES = 4
+from .common import cut, dealt_anew, discard, passes, sieve, store
+
+LENGTH, GRAM, BLOCK = 100, 32, 16
+#: Words of 64 bits of the map that holds the repeated grams: 16 MB, whatever the input.
+SIEVE_WORDS = 1 << 21
+#: Shares in which windows are compared, by a digit of their digest.
+SHARES = 4
+#: Bytes of a text whose suffixes are looked at together.
+CHUNK = 1 << 20
+#: Texts handled together in a worker.
+PART = 64
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
+_NULL_ID = -(2**63)
 _tables: dict = {}
 
 
@@ -60,7 +73,7 @@ class Hashed:
 
 
 def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(hashed, first window, windows, gram hash) of all runs; None if the text is shorter than a window."""
+    """(hashed, first window, windows, place of the gram, gram hash) of all runs; None if the text is shorter than a window."""
     n = len(raw)
     if n < length:
         return None
@@ -78,132 +91,210 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM):
     named = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
     count = np.diff(np.append(first, len(named)))
-    return h, first, count, grams[named[first]]
+    return h, first, count, named[first], grams[named[first]]
+
+
+def chunks(raw: bytes, length: int):
+    """(offset, bytes) of parts that hold CHUNK windows each, or fewer in the last one."""
+    for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
+        yield at, raw[at : at + CHUNK + length - 1]
+
+
+def cores(h: Hashed, first, count, gram_at, length: int, block: int):
+    """(run, block, hash) of the pieces of the runs, in order.
+
+    Block b of a run holds the windows that begin b * block to (b + 1) * block - 1 bytes before the gram. All of them, in
+    whatever run, hold the length - block + 1 bytes from b * block before the gram on.
+    """
+    near, far = (gram_at - first - count + 1) // block, (gram_at - first) // block
+    each = far - near + 1
+    run = np.repeat(np.arange(len(first)), each)
+    b = np.repeat(far + 1, each) - 1 - ragged(np.zeros(len(first), np.int64), each)
+    at = gram_at[run] - b * block
+    core = h.of(at, at + length - block + 1)
+    return run, b, _mix(core + b.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _flat(batches, parts):
-    """Record batches of the arrays that parts(batch) yields for each row."""
+def _digests(raw: bytes, start, stop) -> np.ndarray:
+    """The 128-bit digests of raw[start:stop], as two int64 columns."""
+    blake = hashlib.blake2b
+    whole = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(whole, np.int64).reshape(-1, 2)
+
+
+def _flat(batches, names: list[str], parts):
+    """Record batches of the columns that parts(row...) yields for each row."""
     import pyarrow as pa
 
     held, size = [], 0
-    names = None
-    for b in batches:
-        for names, arrays in parts(b):
-            held.append(arrays)
-            size += len(arrays[0])
-            if size > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
-                held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+
+    def out():
+        columns = []
+        for c in zip(*held, strict=True):
+            columns.append(pa.concat_arrays(c) if isinstance(c[0], pa.Array) else pa.array(np.concatenate(c)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    with np.errstate(over="ignore"):
+        for batch in batches:
+            for k in range(0, batch.num_rows, PART):
+                for row in zip(*[c.to_pylist() for c in batch.slice(k, PART).columns], strict=True):
+                    for columns in parts(*row):
+                        held.append(columns)
+                        size += len(columns[0])
+                    if size > 100_000:
+                        yield out()
+                        held, size = [], 0
+        if held:
+            yield out()
 
 
 def _bytes(t) -> bytes:
     return (t or "").encode()
 
 
-def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per row of docs: ``(<id_col>, n_bytes, removed array<struct<start, end>>, kept binary)``.
+def _place(start: Column) -> Column:
+    """Document and start as one number, which orders as they do; unlike a struct, it is aggregated by hash."""
+    return F.col("d").cast("decimal(20,0)") * F.lit(1 << 32) + start.cast("decimal(10,0)")
+
+
+def _gram_map(repeated: DataFrame) -> np.ndarray:
+    """A map of SIEVE_WORDS words with a bit for each of repeated.g, on the driver."""
+    at = F.pmod("g", F.lit(SIEVE_WORDS * 64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    words = repeated.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(SIEVE_WORDS, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
 
-    Texts are UTF-8 bytes, null being empty. A byte is removed if a string of length bytes that covers it
-    also starts earlier: in a row with a smaller id, or in the same one before. removed lists the maximal runs in order, kept
-    is what is left. Texts shorter than length lose nothing. A null id counts as smaller than all
-    others. Rows that repeat an id are judged by id and start alone: equal places in them do not
-    count as earlier. Only the two columns are read; an empty table gives no rows.
-    """
-    null_id = -(2**63)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(null_id)).alias("d"), F.col(text_col).alias("t"))
+
+def _repeated(rows: DataFrame, digit: list[str], start: Column) -> DataFrame:
+    """(digit..., f): the first place of each digit that rows hold more than once."""
+    first = rows.groupBy(*digit).agg(F.min(_place(start)).alias("f"), F.count("*").alias("c")).where("c > 1")
+    return first.select(dealt_anew(F.col(digit[0])).alias(digit[0]), *digit[1:], "f")
+
+
+def _more_than_one(rows: DataFrame, digit: str) -> DataFrame:
+    """The rows whose digit occurs more than once."""
+    return rows.join(rows.groupBy(digit).count().where("count > 1").select(dealt_anew(F.col(digit)).alias(digit)), digit)
+
+
+def covers(src: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """(d, k, lo, hi): all windows lo to hi of document (d, k) occur at an earlier place. src is (d, k, t)."""
+    spark = src.sparkSession
 
     def first_digits(batches):
-        def parts(b):
-            with np.errstate(over="ignore"):
-                for t in b.column(0).to_pylist():
-                    if got := runs(_bytes(t), length, gram):
-                        yield ["g"], [got[3].view(np.int64)]
-
-        yield from _flat(batches, parts)
-
-    repeated = src.select("t").mapInArrow(first_digits, "g bigint").groupBy("g").count().where("count > 1").select("g")
-    bits = cut(sieve(repeated.select(F.xxhash64("g").alias("key")), SIEVE))
-
-    def all_runs(batches):
-        def parts(b):
-            with np.errstate(over="ignore"):
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if got := runs(_bytes(t), length, gram):
-                        h, first, count, g = got
-                        whole = h.of(first, first + count - 1 + length)
-                        yield ["d", "s", "n", "g", "r"], [np.full(len(first), d, np.int64), first.astype(np.int64), count.astype(np.int32), g.view(np.int64), whole.view(np.int64)]
-
-        yield from _flat(batches, parts)
-
-    rows = passes(src.mapInArrow(all_runs, "d bigint, s bigint, n int, g bigint, r bigint"), F.xxhash64("g"), bits, SIEVE).where("_maybe").drop("_maybe")
-    rows = store(rows, "runs")
-    place = F.struct("d", "s")
-    digits = store(rows.groupBy("g", "r").agg(F.min(F.struct("d", "s", "n")).alias("f"), F.count("*").alias("c")), "digits")
-    # Only runs that occur more than once need to be told which place is the first.
-    first = digits.where("c > 1").select("g", "r", F.struct("f.d", "f.s").alias("f"))
-    later = rows.join(first, ["g", "r"]).where(place > F.col("f"))
-    full = store(later.select("d", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi")), "full")
-    del later
+        def parts(t):
+            for _, raw in chunks(_bytes(t), length):
+                yield [runs(raw, length, gram)[4].view(np.int64)]
+
+        yield from _flat(batches, ["g"], parts)
+
+    repeated = src.select("t").mapInArrow(first_digits, "g bigint").groupBy("g").count().where("count > 1")
+    bits = spark.sparkContext.broadcast(_gram_map(repeated))
+
+    def second_digits(batches):
+        import pyarrow as pa
+
+        known = bits.value
+
+        def parts(d, k, t):
+            for at, raw in chunks(_bytes(t), length):
+                h, first, count, gram_at, g = runs(raw, length, gram)
+                slot = g & np.uint64(SIEVE_WORDS * 64 - 1)
+                some = (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                first, count, gram_at, g = (x[some] for x in (first, count, gram_at, g))
+                if len(first):
+                    digest = _digests(raw, first, first + count - 1 + length)
+                    run, _, core = cores(h, first, count, gram_at, length, block)
+                    ends = np.searchsorted(run, np.arange(len(first) + 1)).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(core.view(np.int64)))
+                    yield [np.full(len(first), d, np.int64), np.full(len(first), k, np.int64), first + at, count.astype(np.int32), (gram_at - first).astype(np.int32), g.view(np.int64), digest[:, 0], digest[:, 1], lists]
+
+        yield from _flat(batches, ["d", "k", "s", "n", "o", "g", "r1", "r2", "cores"], parts)
+
+    rows = store(src.mapInArrow(second_digits, "d bigint, k bigint, s bigint, n int, o int, g bigint, r1 bigint, r2 bigint, cores array<bigint>"), "runs")
+    judged = rows.join(_repeated(rows, ["r1", "r2"], F.col("s")), ["r1", "r2"], "left")
+    later = F.coalesce(_place(F.col("s")) > F.col("f"), F.lit(False))
+    judged = store(judged.select("d", "k", "s", "n", "o", "g", later.alias("later"), F.when(~later, F.col("cores")).alias("cores")), "judged")
+    bits.destroy()
     discard(rows)
-    open_grams = digits.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
-    apart = store(digits.join(open_grams, "g", "left_semi").select("f.d", "f.s", "f.n"), "open")
-    discard(digits)
-    wanted = apart.groupBy("d").agg(F.sort_array(F.collect_list(F.struct("s", "n"))).alias("runs"))
+    full = judged.where("later").select("d", "k", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi"))
+    # The windows of a piece: those of its run that are in its block; blocks come in falling order.
+    pieces = _more_than_one(judged.where("not later").drop("later"), "g").select("d", "k", "s", "n", "o", F.posexplode("cores").alias("i", "core"))
+    b = F.shiftright("o", int(np.log2(block))) - F.col("i")
+    lo = F.greatest(F.col("s"), F.col("s") + F.col("o") - (b + 1) * block + 1)
+    hi = F.least(F.col("s") + F.col("n") - 1, F.col("s") + F.col("o") - b * block)
+    pieces = _more_than_one(pieces.select("d", "k", lo.alias("lo"), hi.alias("hi"), "core"), "core")
+    wanted = store(pieces.groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("pieces")), "pieces")
 
     def windows(batches):
-        def parts(b):
-            with np.errstate(over="ignore"):
-                for d, t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    h = Hashed(_bytes(t))
-                    first, count = np.array([x["s"] for x in w]), np.array([x["n"] for x in w])
-                    at = ragged(first, count)
-                    at = at[at + length <= h.n]
-                    yield ["d", "s", "w"], [np.full(len(at), d, np.int64), at, h.of(at, at + length).view(np.int64)]
-
-        yield from _flat(batches, parts)
-
-    maybe = passes(src, F.xxhash64("d"), cut(sieve(apart.select(F.xxhash64("d").alias("key")).distinct()))).where("_maybe").select("d", "t")
-    win = store(maybe.join(wanted, "d").mapInArrow(windows, "d bigint, s bigint, w bigint"), "windows")
+        def parts(d, k, t, pieces):
+            raw = _bytes(t)
+            first = np.array([x["lo"] for x in pieces], np.int64)
+            at = ragged(first, np.array([x["hi"] for x in pieces], np.int64) - first + 1)
+            for i in range(0, len(at), 1 << 16):
+                some = at[i : i + (1 << 16)]
+                digest = _digests(raw, some, some + length)
+                yield [np.full(len(some), d, np.int64), np.full(len(some), k, np.int64), some, digest[:, 0], digest[:, 1]]
+
+        yield from _flat(batches, ["d", "k", "s", "w1", "w2"], parts)
+
+    row = F.xxhash64("d", "k")
+    maybe = passes(src, row, cut(sieve(wanted.select(row.alias("key"))))).where("_maybe").select("d", "k", "t")
+    win = store(maybe.join(wanted, ["d", "k"]).mapInArrow(windows, "d bigint, k bigint, s bigint, w1 bigint, w2 bigint"), "windows")
+    discard(wanted)
     single = []
-    for k in range(PASSES):  # one leading digit at a time: a pass shuffles its share, which the next one finds deleted
-        digit = win.where(F.pmod("w", F.lit(PASSES)) == k)
-        again = store(digit.groupBy("w").agg(F.min(place).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "again")
-        single.append(store(digit.join(again, "w").where(place > F.col("f")).select("d", F.col("s").alias("lo"), F.col("s").alias("hi")), "single"))
-        discard(again)
+    for i in range(SHARES):  # one leading digit at a time, so that no pass shuffles all windows
+        digit = win.where(F.pmod("w1", F.lit(SHARES)) == i)
+        again = digit.join(_repeated(digit, ["w1", "w2"], F.col("s")), ["w1", "w2"]).where(_place(F.col("s")) > F.col("f"))
+        single.append(store(again.select("d", "k", F.col("s").alias("lo"), F.col("s").alias("hi")), "single"))
     discard(win)
-    discard(apart)
-    covers = functools.reduce(DataFrame.unionByName, single, full)
-    per_doc = covers.groupBy("d").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
+    return functools.reduce(DataFrame.unionByName, single, full)
+
+
+def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """One row per row of docs: ``(<id_col>, n_bytes, removed array<struct<start, end>>, kept binary)``.
+
+    Texts are UTF-8 bytes, null being empty. A byte is removed if a string of length bytes that covers it
+    also starts earlier: in a row with a smaller id, or in one with the same id at a smaller offset. removed lists the
+    maximal runs in order, kept is what is left. Texts shorter than length lose nothing. A null id counts as the
+    smallest of all. Of rows that repeat an id each is judged by its own text: equal offsets in them do not count
+    as earlier, and rows that repeat the text as well get equal results. Only the two columns are read; an empty
+    table gives no rows. block has to be a power of two, with gram + block - 1 <= length.
+    """
+    if block & (block - 1) or gram + block - 1 > length:
+        raise ValueError("block has to be a power of two, with gram + block - 1 <= length")
+    # A row is known by its id and a hash of its text, which only has to tell rows with one id apart.
+    src = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("t"))
+    found = covers(src.select("d", "k", "t"), length, gram, block)
+    per_row = store(found.groupBy("d", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("covers")), "covers")
 
     def remove(batches):
         import pyarrow as pa
 
-        for b in batches:
-            ids, n_bytes, removed, kept = [], [], [], []
-            for d, t, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = _bytes(t)
-                c = c.values
-                lo, hi = (np.asarray(c.field(i)) for i in (0, 1)) if c is not None else (np.empty(0, np.int64), np.empty(0, np.int64))
-                edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, lo, 1)
-                np.add.at(edge, np.minimum(hi + length, len(raw)), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                step = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                ids.append(d)
-                n_bytes.append(len(raw))
-                removed.append([{"start": a, "end": e} for a, e in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)])
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
-            spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.binary())], names=["d", "n_bytes", "removed", "kept"])
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            for k in range(0, batch.num_rows, PART):
+                part = batch.slice(k, PART)
+                n_bytes, removed, kept = [], [], []
+                for t, c in zip(part.column(1).to_pylist(), part.column(2), strict=True):
+                    raw = _bytes(t)
+                    lo, hi = (np.asarray(c.values.field(i)) for i in (0, 1))
+                    edge = np.bincount(lo, minlength=len(raw) + 1) - np.bincount(hi + length, minlength=len(raw) + 1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    step = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+                    n_bytes.append(len(raw))
+                    removed.append([{"start": a, "end": e} for a, e in zip(step[::2].tolist(), step[1::2].tolist(), strict=True)])
+                    kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                columns = [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(removed, spans), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "n_bytes", "removed", "kept"])
 
     spans = "array<struct<start:bigint,end:bigint>>"
-    split = passes(src, F.xxhash64("d"), cut(sieve(covers.select(F.xxhash64("d").alias("key")).distinct())))
-    touched = split.where("_maybe").select("d", "t").join(per_doc, "d", "left")
-    touched = touched.select("d", "t", F.coalesce("covers", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("covers"))
-    changed = touched.mapInArrow(remove, f"d bigint, n_bytes bigint, removed {spans}, kept binary")
+    row = F.xxhash64("d", "k")
+    split = passes(src, row, cut(sieve(per_row.select(row.alias("key")))))
+    touched = split.where("_maybe").join(per_row, ["d", "k"], "left")
     text = F.coalesce("t", F.lit(""))
-    clean = split.where("not _maybe").select("d", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(T._parse_datatype_string(spans)).alias("removed"), text.cast("binary").alias("kept"))
-    out = changed.unionByName(clean)
-    return out.select(F.when(F.col("d") != null_id, F.col("d")).alias(id_col), "n_bytes", "removed", "kept")
+    changed = touched.where("covers is not null").select("i", "t", "covers").mapInArrow(remove, f"i {src.schema['i'].dataType.simpleString()}, n_bytes bigint, removed {spans}, kept binary")
+    clean = split.where("not _maybe").select("i", "t").unionByName(touched.where("covers is null").select("i", "t"))
+    clean = clean.select("i", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(spans).alias("removed"), text.cast("binary").alias("kept"))
+    return changed.unionByName(clean).withColumnRenamed("i", id_col)
