@@ -5,11 +5,14 @@ at least MIN_LENGTH key characters with a letter and a digit. It belongs to the
 class that holds all of it; the class gives the window and the entropy from which it is reported. The
 entropy of the next window comes from the counts of the one character that leaves and the one that
 enters: with S = sum of c * log2(c) over the window's counts, H = log2(w) - S / w. Windows that overlap
-a match of the allow list do not count; matches of the fixed patterns are never suppressed.
+a match of the allow list do not count; matches of the fixed patterns are never suppressed. Counts are packed
+into a few words that go from window to window, so a candidate takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,29 +33,48 @@ CLASSES = ((r"^[0-9a-fA-F]+$", 20, 3.0), (r"^[A-Z0-9]+$", 20, 3.4), (r"^[A-Za-z0
 ALLOW = r"(?i)example|placeholder|changeme|0123456789|abcdefghij|(.)\1{5,}|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
-def _term(c: Column) -> Column:
-    c = c.cast("double")
-    return F.when(c > 1, c * F.log2(c)).otherwise(0.0)
+#: Key characters lie within ASCII 43 to 122; a count takes 8 bits, so 10 words of 64 bits hold all counts of a window.
+_LOWEST, _WORDS, _MOST = 43, 10, 255
+#: c * log2(c) of each count, as whole numbers of 2**-32: sums of them never drift, however long the string.
+_SCALE = 1 << 32
+_TERMS = [0, *[round(c * math.log2(c) * _SCALE) for c in range(1, _MOST + 1)]]
 
 
 def peak_entropy(s: Column, window: int) -> Column:
-    """The highest entropy of any window of s, in bits a character; the whole of s if it is shorter."""
-    chars = F.split(s, "")
-    w = F.least(F.lit(window), F.size(chars))
-    times = lambda part, ch: F.size(F.filter(part, lambda x: x == ch))
-    first = F.slice(chars, F.lit(1), w)
-    start = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda a, ch: a + _term(times(first, ch)))
-
-    def slide(state, i):
-        part, gone, new = F.slice(chars, i, w), F.element_at(chars, i), F.element_at(chars, i + w)
-        out, into = times(part, gone), times(part, new)
-        s2 = state["s"] - _term(out) + _term(out - 1) - _term(into) + _term(into + 1)
-        s2 = F.when(gone == new, state["s"]).otherwise(s2)
-        return F.struct(s2.alias("s"), F.least(state["low"], s2).alias("low"))
-
-    steps = F.when(F.size(chars) > w, F.sequence(F.lit(1), F.size(chars) - w)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.struct(start.alias("s"), start.alias("low")), slide)["low"]
-    return F.log2(w.cast("double")) - low / w
+    """The highest entropy of any window of s, in bits a character; the whole of s if it is shorter.
+
+    s holds key characters only (those of CANDIDATE). Time is in proportion to its length: the counts of the window are the state.
+    """
+    if window > _MOST:
+        raise ValueError(f"windows have at most {_MOST} characters")
+    terms = F.array(*[F.lit(t).cast("long") for t in _TERMS])
+    shift = lambda c: F.pmod(c, F.lit(8)) * 8
+    count = lambda counts, c: F.call_function("shiftrightunsigned", F.element_at(counts, F.shiftright(c, 3) + 1), shift(c)).bitwiseAND(F.lit(_MOST)).cast("int")
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), shift(c))
+
+    def over(chars):
+        size = F.size(chars)
+
+        def step(state, i):
+            came, went = F.element_at(chars, i), F.element_at(chars, F.greatest(i - window, F.lit(1)))
+            full = i > window
+            n_out, n_in = count(state["counts"], went), count(state["counts"], came)
+            n_in = n_in - F.when(full & (came == went), 1).otherwise(0)
+            # The character that left, then the one that came: their counts and terms are all that changes.
+            lost = F.when(full, F.element_at(terms, n_out + 1) - F.element_at(terms, n_out)).otherwise(F.lit(0).cast("long"))
+            total = state["s"] - lost + F.element_at(terms, n_in + 2) - F.element_at(terms, n_in + 1)
+            out_word, in_word = F.when(full, F.shiftright(went, 3)).otherwise(-1), F.shiftright(came, 3)
+            counts = F.transform(state["counts"], lambda x, j: x - F.when(j == out_word, one(went)).otherwise(F.lit(0).cast("long")) + F.when(j == in_word, one(came)).otherwise(F.lit(0).cast("long")))
+            low = F.when(i >= F.least(F.lit(window), size), F.least(state["low"], total)).otherwise(state["low"])
+            return F.struct(counts.alias("counts"), total.alias("s"), low.alias("low"))
+
+        zero = F.struct(F.array(*[F.lit(0).cast("long")] * _WORDS).alias("counts"), F.lit(0).cast("long").alias("s"), F.lit(2**62).cast("long").alias("low"))
+        w = F.least(F.lit(window), size)
+        return F.when(size > 0, F.log2(w.cast("double")) - F.aggregate(F.sequence(F.lit(1), size), zero, step)["low"] / w / float(_SCALE)).otherwise(F.lit(0.0))
+
+    # The characters are taken apart once, and bound by the lambda: they are not computed again at each step.
+    chars = F.transform(F.split(s, ""), lambda c: F.ascii(c) - _LOWEST)
+    return F.element_at(F.transform(F.array(chars), over), 1)
 
 
 def _suspicious(s: Column) -> Column:
