@@ -3,14 +3,16 @@
 A value's kind fixes a domain of a * b values; an index in it is split into two parts that a Feistel
 network of ROUNDS keyed rounds permutes (x = (x + F(y)) mod a, then y = (y + F(x)) mod b, in turn). Each
 kind maps its domain onto itself, so equal values get equal pseudonyms in every document, different
-values of a format get different ones, and the pseudonym passes the same validation:
+strings get different ones, and the pseudonym has the same format and passes the same validation:
 
 * ``email``: runs of letters and of digits of the local part keep their lengths and case; the domain stays;
 * ``phone``: NANP numbers; area and exchange codes keep a first digit of 2 to 9;
-* ``ip``: IPv4, octets 0 to 255 (text length may change);
-* ``card``: 13 to 19 digits, bare or in groups of four, that pass the Luhn check; the check digit is made anew;
+* ``ip``: IPv4, octets 0 to 255 without leading zeros (text length may change);
+* ``card``: 13 to 19 digits, bare or in groups of 4-4-4-4 or 4-6-5, that pass the Luhn check; the check digit is made anew;
 * ``ssn``: ddd-dd-dddd with area 001 to 899 without 666, group and serial not zero;
-* ``date``: 1900-01-01 to 2100-05-02 as YYYY-MM-DD, DD/MM/YYYY (MM/DD/YYYY where only that is a date) or DD.MM.YYYY.
+* ``date``: 1900-01-01 to 2100-05-02 as YYYY-MM-DD, DD.MM.YYYY or DD/MM/YYYY, which share one permutation of days, so
+  that a day stays linked across them; and to 2100-01-31 as MM/DD/YYYY where only that is a date, that is, with a
+  day over 12: those strings are permuted among themselves.
 
 What does not validate stays as it is. All of it is column expressions on each row; nothing is shuffled.
 """
@@ -23,21 +25,21 @@ from pyspark.sql import functions as F
 from .spans import located, rewritten
 
 ROUNDS = 10
-#: The pseudonym key when none is given; keep your own secret.
-DEFAULT_KEY = "change-this-key"
 KINDS = ("email", "phone", "ip", "card", "ssn", "date")
 
 #: The shapes, before validation, in the order of KINDS.
 SHAPES = (
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    r"(?<![A-Za-z0-9])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?[A-Za-z0-9])",
-    r"(?<![A-Za-z0-9])(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])(?:(?:\d{4}[ -]){3}\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![A-Za-z0-9])",
     r"(?<![A-Za-z0-9-])\d{3}-\d{2}-\d{4}(?![A-Za-z0-9-])",
     r"(?<![A-Za-z0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![A-Za-z0-9/-]|\.\d)",
 )
 ANY = "|".join(f"(?:{s})" for s in SHAPES)
 _FIRST_DAY, _DAYS = "1900-01-01", (270, 271)
+#: Months from 1900-01 of MM/DD/YYYY with a day over 12, and the number of such strings as a product.
+_MONTHS, _LATE_DAYS = 2401, (204, 217)
 
 
 def _one(value: Column, f) -> Column:
@@ -129,22 +131,46 @@ def _fill(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit(0).alias("i"), F.lit("").alias("o")), step)["o"]
 
 
-def _as_date(s: Column) -> Column:
-    got = lambda fmt: F.try_to_date(s, fmt)
-    d = F.when(s.rlike("-"), got("yyyy-MM-dd")).when(s.rlike("/"), F.coalesce(got("dd/MM/yyyy"), got("MM/dd/yyyy"))).otherwise(got("dd.MM.yyyy"))
-    day = F.datediff(d, F.lit(_FIRST_DAY).cast("date"))
+def _day_number(s: Column, fmt: str) -> Column:
+    return F.datediff(F.try_to_date(s, fmt), F.lit(_FIRST_DAY).cast("date"))
+
+
+def _day(s: Column) -> Column:
+    """The number of the day of a date with the year or the day first; null out of the domain."""
+    day = F.when(s.rlike("-"), _day_number(s, "yyyy-MM-dd")).when(s.rlike("/"), _day_number(s, "dd/MM/yyyy")).otherwise(_day_number(s, "dd.MM.yyyy"))
     return F.when((day >= 0) & (day < _DAYS[0] * _DAYS[1]), day)
 
 
+def _month_start(m: Column) -> Column:
+    """The first of the month m months after 1900-01, as a number of days, less the 12 days of each month that do not count."""
+    return F.datediff(F.add_months(F.lit(_FIRST_DAY).cast("date"), m), F.lit(_FIRST_DAY).cast("date")) - 12 * m
+
+
+def _late_day(s: Column) -> Column:
+    """The number of MM/DD/YYYY among the dates with a day over 12; null out of the domain, or where DD/MM/YYYY is a date."""
+    month = (F.substring(s, 7, 4).try_cast("int") - 1900) * 12 + F.substring(s, 1, 2).try_cast("int") - 1
+    valid = s.rlike("/") & F.try_to_date(s, "MM/dd/yyyy").isNotNull() & (F.substring(s, 4, 2).try_cast("int") > 12)
+    return F.when(valid & (month >= 0) & (month < _MONTHS), _day_number(s, "MM/dd/yyyy") - 12 * (month + 1))
+
+
+def _late_text(number: Column) -> Column:
+    """The MM/DD/YYYY of a number that _late_day gives."""
+    # Months have 16 to 19 such days, so the even share of the number is at most one month off.
+    guess = F.floor(number * _MONTHS / (_LATE_DAYS[0] * _LATE_DAYS[1])).cast("int")
+    month = lambda n: F.array_max(F.filter(F.sequence(guess - 2, guess + 2), lambda m: (m >= 0) & (_month_start(m) <= n)))
+    date = lambda m: F.date_add(F.add_months(F.lit(_FIRST_DAY).cast("date"), m), (number - _month_start(m) + 12).cast("int"))
+    return _one(month(number), lambda m: F.date_format(date(m), "MM/dd/yyyy"))
+
+
 def kind_of(s: Column) -> Column:
     """The kind of a match of ANY, or null where it fails validation."""
     d = _digits(s)
-    octets_ok = F.forall(F.split(s, r"\."), lambda o: o.cast("int") <= 255)
+    octets_ok = F.forall(F.split(s, r"\."), lambda o: (o.cast("int") <= 255) & ~o.rlike("^0."))
     phone = F.substring(d, -10, 10)
     return (
         F.when(s.rlike("@"), F.lit("email"))
         .when(s.rlike(r"^\d+\.\d+\.\d+\.\d+$"), F.when(octets_ok, F.lit("ip")))
-        .when(s.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), F.when(_as_date(s).isNotNull(), F.lit("date")))
+        .when(s.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})$"), F.when(_day(s).isNotNull() | _late_day(s).isNotNull(), F.lit("date")))
         .when(s.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), F.lit("ssn")))
         .when(F.char_length(d) >= 13, F.when(luhn_digit(F.substring(d, F.lit(1), F.char_length(d) - 1)) == F.substring(d, -1, 1).cast("int"), F.lit("card")))
         .otherwise(F.when(phone.rlike(r"^[2-9]\d\d[2-9]\d{6}$"), F.lit("phone")))
@@ -185,16 +211,14 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
         return _one(new, text)
 
     def date():
-        day = _as_date(s)
-        new = feistel(F.floor(day / _DAYS[1]), F.pmod(day, F.lit(_DAYS[1])), _DAYS[0], _DAYS[1], F.lit("date"), key)
-        american = F.try_to_date(s, "dd/MM/yyyy").isNull()
+        new = feistel(F.floor(_day(s) / _DAYS[1]), F.pmod(_day(s), F.lit(_DAYS[1])), _DAYS[0], _DAYS[1], F.lit("date"), key)
+        late = feistel(F.floor(_late_day(s) / _LATE_DAYS[1]), F.pmod(_late_day(s), F.lit(_LATE_DAYS[1])), _LATE_DAYS[0], _LATE_DAYS[1], F.lit("late"), key)
 
         def text(v):
             at = F.date_add(F.lit(_FIRST_DAY).cast("date"), (v["x"] * _DAYS[1] + v["y"]).cast("int"))
-            slashed = F.when(american & (F.dayofmonth(at) > 12), F.date_format(at, "MM/dd/yyyy")).otherwise(F.date_format(at, "dd/MM/yyyy"))
-            return F.when(s.rlike("-"), F.date_format(at, "yyyy-MM-dd")).when(s.rlike("/"), slashed).otherwise(F.date_format(at, "dd.MM.yyyy"))
+            return F.when(s.rlike("-"), F.date_format(at, "yyyy-MM-dd")).when(s.rlike("/"), F.date_format(at, "dd/MM/yyyy")).otherwise(F.date_format(at, "dd.MM.yyyy"))
 
-        return _one(new, text)
+        return F.when(_day(s).isNotNull(), _one(new, text)).otherwise(_one(late, lambda v: _late_text(v["x"] * _LATE_DAYS[1] + v["y"])))
 
     def email():
         at = F.instr(s, "@")
@@ -206,12 +230,15 @@ def pseudonym(s: Column, kind: Column, key: str) -> Column:
     return F.when(kind == "email", email()).when(kind == "phone", phone()).when(kind == "ip", ip()).when(kind == "card", card()).when(kind == "ssn", ssn()).otherwise(date())
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", spans_col: str = "pii_spans", key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", spans_col: str = "pii_spans") -> DataFrame:
     """docs with text_col pseudonymised and spans_col: array<struct<start, end, m, kind, new>>, offsets in the text as it came.
 
-    Whole texts are searched. A null text stays null and an empty one empty, both with an empty array.
-    Repeated rows get equal results; other columns stay, one named spans_col is replaced.
+    key decides the permutations: who has it can undo them, so keep it secret. Whole texts are searched. A null text
+    stays null and an empty one empty, both with an empty array. Repeated rows get equal results; other columns stay, one
+    named spans_col is replaced.
     """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = F.transform(located(text, ANY), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), kind_of(x["m"]).alias("kind")))
     valid = F.filter(kinds, lambda x: x["kind"].isNotNull())

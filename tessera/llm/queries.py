@@ -51,9 +51,13 @@ def op5_secret_scan(spark, sf_dir):
 
 
 def op6_pii(spark, sf_dir):
+    """The key is the session's ``spark.tessera.pii.key``; where it is unset, each call takes a new random one, which nobody keeps."""
+    import secrets
+
     from .pii import KINDS, pseudonymise
 
-    done = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.tessera.pii.key", None) or secrets.token_hex(32)
+    done = pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     count = lambda k: F.size(F.filter("pii_spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     spans = F.array_join(F.transform("pii_spans", lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return done.select("doc_id", *[count(k) for k in KINDS], spans.alias("spans"), F.transform("pii_spans", lambda x: x["new"]).alias("pseudonyms"), "text")
