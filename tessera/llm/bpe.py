@@ -1,7 +1,7 @@
 """BPE encoding and decoding in batched numpy merge rounds.
 
 The texts of a batch lie in one flat array of code points. Character classes cut it into pieces as the
-vocabulary's pattern does; a piece is known by a 64-bit hash of its bytes and length. Pieces not seen
+vocabulary's pattern does; a piece is looked up by a 64-bit hash, and the ids found have to spell its bytes. Pieces not seen
 before are merged together: the symbols of all of them lie in one flat array, and each round finds the
 rank of every pair by binary search over the sorted pair keys, takes the lowest of each piece and merges
 all its places, left to right. A worker keeps what it has merged in sorted arrays of bounded size
@@ -257,16 +257,23 @@ class BatchBPE:
                 pos_ok = np.searchsorted(self.known, uniq)
         slot = self.slot[pos_ok][back]
         n = self.count[slot]
-        ids = self.flat[ragged(self.at[slot], n)]
-        return ids.astype(np.int64), np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+        ids = self.flat[ragged(self.at[slot], n)].astype(np.int64)
+        # The ids have to spell the very bytes: where two pieces share a hash they do not, and all are merged on their own.
+        spelled = self.token_bytes[ragged(self.token_at[ids], self.token_len[ids])]
+        wanted = np.insert(flat, np.cumsum(size), 32) if self.word else flat
+        if len(spelled) != len(wanted) or (spelled != wanted).any():
+            ids, n = self._merge(self._symbols(raw, start, size), size)
+        return ids, np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64)
+
+    def _symbols(self, raw, start, size) -> np.ndarray:
+        sym = self.first[raw[ragged(start, size)]]
+        sym[np.cumsum(size) - 1] = self.last[raw[start + size - 1]]
+        return sym
 
     def _learn(self, hashes, raw, start, size, anew=False):
         if anew or len(self.known) + len(hashes) > CACHE_PIECES:
             self._forget()
-        sym = self.first[raw[ragged(start, size)]]
-        tail = np.cumsum(size) - 1
-        sym[tail] = self.last[raw[start + size - 1]]
-        sym, count = self._merge(sym, size)
+        sym, count = self._merge(self._symbols(raw, start, size), size)
         base = len(self.at)
         self.at = np.concatenate((self.at, len(self.flat) + np.cumsum(count) - count))
         self.count = np.concatenate((self.count, count))
