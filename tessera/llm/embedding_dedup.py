@@ -40,6 +40,7 @@ def block_slices(dim: int) -> list[slice]:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]  # no square can overflow or vanish
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -186,9 +187,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     out.append(None)
                     continue
                 x = np.asarray(v, np.float64)
-                with np.errstate(over="ignore"):
-                    norm = float(x @ x)
-                out.append((x + 0.0).tobytes() if np.isfinite(norm) and norm > 0 else None)
+                out.append((x + 0.0).tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"))
@@ -207,6 +206,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
     per_rep = reps.join(links, "rep", "left").join(comp, "rep", "left")
     per_rep = per_rep.select("v", (F.coalesce("links", F.lit(0)) + F.col("count") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = all_rows.join(per_rep, "v", "left")
-    comp_id = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), comp_id.alias("component_id"), comp_id.eqNullSafe(F.col("id")).alias("kept"))
+    linked = all_rows.where("id is not null and v is not null").join(per_rep, "v").select("id", "n_links", "component_id")
+    alone = all_rows.where("id is null or v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_path, fresh_dir
+from .common import cut, dealt_anew, drop_path, fresh_dir
 
 #: Payloads shorter than this are never turned into revisits.
 REVISIT_LEAST = 100
@@ -137,7 +137,8 @@ def normalise(raw: DataFrame, folder: str, least: int = REVISIT_LEAST) -> DataFr
     Of records with equal payloads of at least ``least`` bytes the one with the smallest page id stays a
     response, the others become revisits of it. Records without a page id stay responses.
     """
-    firsts = raw.where((F.col("n") >= least) & F.col("page").isNotNull()).groupBy("n", "digest").agg(F.min("page").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    firsts = raw.where((F.col("n") >= least) & F.col("page").isNotNull()).groupBy("n", "digest").agg(F.min("page").alias("first"), F.count("*").alias("c")).where("c > 1")
+    firsts = firsts.select(dealt_anew(F.col("n")).alias("n"), "digest", "first")  # so that a payload of many pages can be split
     again = raw.join(firsts, ["n", "digest"]).where("page <> first").groupBy("file").agg(F.collect_list(F.struct("seq", "first")).alias("again"))
     files = raw.groupBy("file").agg(F.count("*").alias("records"))
     n_files = max(1, files.count())
