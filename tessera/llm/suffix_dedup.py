@@ -11,12 +11,12 @@ until the passes get so deep that they differ:
    goes on, if other runs share its gram.
 3. The third digit is a run's core: a run is cut where the distance of the windows from their gram is a multiple of BLOCK,
    and the core is what all windows of such a piece share, LENGTH - BLOCK + 1 bytes. Pieces whose core occurs
-   once are done.
+   once are done. The fourth digit is the whole piece, as the second is the whole run.
 4. The last digit is the window's LENGTH bytes. Equal groups are exactly the repeated windows, and all but the first
    place of each are removed.
 
-The first and the third digit only decide what goes on, and are 64-bit hashes. The second and the last decide what
-is removed, and are 128-bit BLAKE2 digests of the very bytes.
+The first and the third digit only decide what goes on, and are 64-bit hashes. The others decide what is removed, and are
+128-bit BLAKE2 digests of the very bytes.
 
 Groups are never gathered: each pass keeps, for a digit, only a count or the first place, aggregated
 before the shuffle, and a join hands it back. What one task holds is bounded by a document's own length, and texts
@@ -39,11 +39,11 @@ LENGTH, GRAM, BLOCK = 100, 32, 16
 #: Words of 64 bits of the map that holds the repeated grams: 16 MB, whatever the input.
 SIEVE_WORDS = 1 << 21
 #: Shares in which windows are compared, by a digit of their digest.
-SHARES = 4
-#: Bytes of a text whose suffixes are looked at together.
+SHARES = 2
+#: Bytes whose suffixes are looked at together: of one text or of several.
 CHUNK = 1 << 20
-#: Texts handled together in a worker.
-PART = 64
+#: Texts taken from a batch at a time.
+PART = 256
 _B = 0x9E3779B97F4A7C15 | 1
 _BI = pow(_B, -1, 1 << 64)
 _NULL_ID = -(2**63)
@@ -72,32 +72,50 @@ class Hashed:
         return _mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
 
-def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM):
-    """(hashed, first window, windows, place of the gram, gram hash) of all runs; None if the text is shorter than a window."""
+def runs(raw: bytes, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+    """(hashed, first window, windows, place of the gram, gram hash, part) of all runs in the parts of raw that begin at starts.
+
+    Every part has at least length bytes; no window goes over its end.
+    """
     n = len(raw)
-    if n < length:
-        return None
     h = Hashed(raw)
     at = np.arange(n - gram + 1)
     grams = h.of(at, at + gram)
     # Hash order in the high half, place in the low one: the least is the leftmost of the least.
-    low = (_mix(grams) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
     span, width = length - gram + 1, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    named = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+    size = np.diff(np.append(starts, n)) - length + 1
+    window, part = ragged(starts, size), np.repeat(np.arange(len(starts)), size)
+    named = (low[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (named[1:] != named[:-1]) | (part[1:] != part[:-1]))))
     count = np.diff(np.append(first, len(named)))
-    return h, first, count, named[first], grams[named[first]]
+    return h, window[first], count, named[first], grams[named[first]], part[first]
 
 
-def chunks(raw: bytes, length: int):
-    """(offset, bytes) of parts that hold CHUNK windows each, or fewer in the last one."""
-    for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
-        yield at, raw[at : at + CHUNK + length - 1]
+def _together(texts: list, length: int):
+    """(bytes, starts, row, offset) of parts of texts, joined to about CHUNK bytes; a part is a text, or CHUNK windows of one."""
+    held, size = [], 0
+
+    def out():
+        starts = np.cumsum([0, *[len(p) for _, _, p in held[:-1]]])
+        return b"".join([p for _, _, p in held]), starts, np.array([i for i, _, _ in held]), np.array([at for _, at, _ in held])
+
+    for i, t in enumerate(texts):
+        raw = _bytes(t)
+        for at in range(0, max(len(raw) - length + 1, 0), CHUNK):
+            part = raw[at : at + CHUNK + length - 1]
+            if held and size + len(part) > CHUNK:
+                yield out()
+                held, size = [], 0
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield out()
 
 
 def cores(h: Hashed, first, count, gram_at, length: int, block: int):
@@ -122,30 +140,15 @@ def _digests(raw: bytes, start, stop) -> np.ndarray:
     return np.frombuffer(whole, np.int64).reshape(-1, 2)
 
 
-def _flat(batches, names: list[str], parts):
-    """Record batches of the columns that parts(row...) yields for each row."""
+def _flat(batches, names: list[str], made):
+    """Record batches of the columns that made(batch) yields for PART rows at a time."""
     import pyarrow as pa
 
-    held, size = [], 0
-
-    def out():
-        columns = []
-        for c in zip(*held, strict=True):
-            columns.append(pa.concat_arrays(c) if isinstance(c[0], pa.Array) else pa.array(np.concatenate(c)))
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
     with np.errstate(over="ignore"):
         for batch in batches:
             for k in range(0, batch.num_rows, PART):
-                for row in zip(*[c.to_pylist() for c in batch.slice(k, PART).columns], strict=True):
-                    for columns in parts(*row):
-                        held.append(columns)
-                        size += len(columns[0])
-                    if size > 100_000:
-                        yield out()
-                        held, size = [], 0
-        if held:
-            yield out()
+                for columns in made(batch.slice(k, PART)):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
 def _bytes(t) -> bytes:
@@ -170,12 +173,19 @@ def _gram_map(repeated: DataFrame) -> np.ndarray:
 def _repeated(rows: DataFrame, digit: list[str], start: Column) -> DataFrame:
     """(digit..., f): the first place of each digit that rows hold more than once."""
     first = rows.groupBy(*digit).agg(F.min(_place(start)).alias("f"), F.count("*").alias("c")).where("c > 1")
-    return first.select(dealt_anew(F.col(digit[0])).alias(digit[0]), *digit[1:], "f")
+    return first.select(dealt_anew(F.col(digit[0])).alias(digit[0]), *digit[1:], "f").hint("shuffle_hash")
+
+
+def _judged(rows: DataFrame, digit: list[str], start: str) -> DataFrame:
+    """rows without the digit, and with later: whether it has an earlier place."""
+    marked = rows.join(_repeated(rows, digit, F.col(start)), digit, "left")
+    return marked.withColumn("later", F.coalesce(_place(F.col(start)) > F.col("f"), F.lit(False))).drop(*digit, "f")
 
 
 def _more_than_one(rows: DataFrame, digit: str) -> DataFrame:
     """The rows whose digit occurs more than once."""
-    return rows.join(rows.groupBy(digit).count().where("count > 1").select(dealt_anew(F.col(digit)).alias(digit)), digit)
+    again = rows.groupBy(digit).count().where("count > 1").select(dealt_anew(F.col(digit)).alias(digit))
+    return rows.join(again.hint("shuffle_hash"), digit)
 
 
 def covers(src: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -183,11 +193,11 @@ def covers(src: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     spark = src.sparkSession
 
     def first_digits(batches):
-        def parts(t):
-            for _, raw in chunks(_bytes(t), length):
-                yield [runs(raw, length, gram)[4].view(np.int64)]
+        def made(part):
+            for raw, starts, _, _ in _together(part.column(0).to_pylist(), length):
+                yield [runs(raw, starts, length, gram)[4].view(np.int64)]
 
-        yield from _flat(batches, ["g"], parts)
+        yield from _flat(batches, ["g"], made)
 
     repeated = src.select("t").mapInArrow(first_digits, "g bigint").groupBy("g").count().where("count > 1")
     bits = spark.sparkContext.broadcast(_gram_map(repeated))
@@ -197,25 +207,24 @@ def covers(src: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
 
         known = bits.value
 
-        def parts(d, k, t):
-            for at, raw in chunks(_bytes(t), length):
-                h, first, count, gram_at, g = runs(raw, length, gram)
-                slot = g & np.uint64(SIEVE_WORDS * 64 - 1)
+        def made(part):
+            d, k = (part.column(i).to_numpy() for i in (0, 1))
+            for raw, starts, row, offset in _together(part.column(2).to_pylist(), length):
+                h, *found = runs(raw, starts, length, gram)
+                slot = found[3] & np.uint64(SIEVE_WORDS * 64 - 1)
                 some = (known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                first, count, gram_at, g = (x[some] for x in (first, count, gram_at, g))
-                if len(first):
-                    digest = _digests(raw, first, first + count - 1 + length)
-                    run, _, core = cores(h, first, count, gram_at, length, block)
-                    ends = np.searchsorted(run, np.arange(len(first) + 1)).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(core.view(np.int64)))
-                    yield [np.full(len(first), d, np.int64), np.full(len(first), k, np.int64), first + at, count.astype(np.int32), (gram_at - first).astype(np.int32), g.view(np.int64), digest[:, 0], digest[:, 1], lists]
+                first, count, gram_at, g, of = (x[some] for x in found)
+                digest = _digests(raw, first, first + count - 1 + length)
+                run, _, core = cores(h, first, count, gram_at, length, block)
+                ends = np.searchsorted(run, np.arange(len(first) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(core.view(np.int64)))
+                yield [d[row[of]], k[row[of]], first - starts[of] + offset[of], count.astype(np.int32), (gram_at - first).astype(np.int32), g.view(np.int64), digest[:, 0], digest[:, 1], lists]
 
-        yield from _flat(batches, ["d", "k", "s", "n", "o", "g", "r1", "r2", "cores"], parts)
+        yield from _flat(batches, ["d", "k", "s", "n", "o", "g", "r1", "r2", "cores"], made)
 
     rows = store(src.mapInArrow(second_digits, "d bigint, k bigint, s bigint, n int, o int, g bigint, r1 bigint, r2 bigint, cores array<bigint>"), "runs")
-    judged = rows.join(_repeated(rows, ["r1", "r2"], F.col("s")), ["r1", "r2"], "left")
-    later = F.coalesce(_place(F.col("s")) > F.col("f"), F.lit(False))
-    judged = store(judged.select("d", "k", "s", "n", "o", "g", later.alias("later"), F.when(~later, F.col("cores")).alias("cores")), "judged")
+    judged = _judged(rows, ["r1", "r2"], "s")
+    judged = store(judged.withColumn("cores", F.when(~F.col("later"), F.col("cores"))), "judged")
     bits.destroy()
     discard(rows)
     full = judged.where("later").select("d", "k", F.col("s").alias("lo"), (F.col("s") + F.col("n") - 1).alias("hi"))
@@ -225,31 +234,49 @@ def covers(src: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     lo = F.greatest(F.col("s"), F.col("s") + F.col("o") - (b + 1) * block + 1)
     hi = F.least(F.col("s") + F.col("n") - 1, F.col("s") + F.col("o") - b * block)
     pieces = _more_than_one(pieces.select("d", "k", lo.alias("lo"), hi.alias("hi"), "core"), "core")
-    wanted = store(pieces.groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("pieces")), "pieces")
-
-    def windows(batches):
-        def parts(d, k, t, pieces):
-            raw = _bytes(t)
-            first = np.array([x["lo"] for x in pieces], np.int64)
-            at = ragged(first, np.array([x["hi"] for x in pieces], np.int64) - first + 1)
-            for i in range(0, len(at), 1 << 16):
-                some = at[i : i + (1 << 16)]
-                digest = _digests(raw, some, some + length)
-                yield [np.full(len(some), d, np.int64), np.full(len(some), k, np.int64), some, digest[:, 0], digest[:, 1]]
+    wanted = store(pieces.groupBy("d", "k").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("pieces")), "wanted")
 
-        yield from _flat(batches, ["d", "k", "s", "w1", "w2"], parts)
+    def last_digits(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blake = hashlib.blake2b
+
+        def made(part):
+            lists, texts = part.column(3), part.column(2).to_pylist()
+            flat, row = lists.flatten(), np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
+            lo, hi, core = (flat.field(i).to_numpy() for i in range(3))
+            raw, of, windows, whole = b"", -1, [], []
+            for i, a, z in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                if i != of:
+                    raw, of = _bytes(texts[i]), i
+                digests = b"".join([blake(raw[s : s + length], digest_size=16).digest() for s in range(a, z + 1)])
+                windows.append(digests)
+                whole.append(blake(digests, digest_size=16).digest())
+            ends = np.concatenate(([0], np.cumsum(2 * (hi - lo + 1)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(windows), np.int64)))
+            piece = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
+            d, k = (part.column(i).to_numpy() for i in (0, 1))
+            yield [d[row], k[row], lo, hi, core, piece[:, 0], piece[:, 1], lists]
+
+        yield from _flat(batches, ["d", "k", "lo", "hi", "core", "p1", "p2", "w"], made)
 
     row = F.xxhash64("d", "k")
     maybe = passes(src, row, cut(sieve(wanted.select(row.alias("key"))))).where("_maybe").select("d", "k", "t")
-    win = store(maybe.join(wanted, ["d", "k"]).mapInArrow(windows, "d bigint, k bigint, s bigint, w1 bigint, w2 bigint"), "windows")
+    pieces = store(maybe.join(wanted, ["d", "k"]).mapInArrow(last_digits, "d bigint, k bigint, lo bigint, hi bigint, core bigint, p1 bigint, p2 bigint, w array<bigint>"), "pieces")
     discard(wanted)
-    single = []
+    judged = _judged(pieces, ["p1", "p2"], "lo")
+    judged = store(judged.withColumn("w", F.when(~F.col("later"), F.col("w"))), "judged")
+    discard(pieces)
+    parts = [full, judged.where("later").select("d", "k", "lo", "hi")]
+    window = F.transform(F.sequence(F.lit(0), (F.col("hi") - F.col("lo")).cast("int")), lambda i: F.struct((F.col("lo") + i).alias("s"), F.get("w", 2 * i).alias("w1"), F.get("w", 2 * i + 1).alias("w2")))
+    win = _more_than_one(judged.where("not later"), "core").select("d", "k", F.explode(window).alias("x")).select("d", "k", "x.*")
+    win = store(win, "windows")
     for i in range(SHARES):  # one leading digit at a time, so that no pass shuffles all windows
-        digit = win.where(F.pmod("w1", F.lit(SHARES)) == i)
-        again = digit.join(_repeated(digit, ["w1", "w2"], F.col("s")), ["w1", "w2"]).where(_place(F.col("s")) > F.col("f"))
-        single.append(store(again.select("d", "k", F.col("s").alias("lo"), F.col("s").alias("hi")), "single"))
+        again = _judged(win.where(F.pmod("w1", F.lit(SHARES)) == i), ["w1", "w2"], "s").where("later")
+        parts.append(store(again.select("d", "k", F.col("s").alias("lo"), F.col("s").alias("hi")), "single"))
     discard(win)
-    return functools.reduce(DataFrame.unionByName, single, full)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -279,6 +306,11 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 n_bytes, removed, kept = [], [], []
                 for t, c in zip(part.column(1).to_pylist(), part.column(2), strict=True):
                     raw = _bytes(t)
+                    if not c.is_valid:
+                        n_bytes.append(len(raw))
+                        removed.append([])
+                        kept.append(raw)
+                        continue
                     lo, hi = (np.asarray(c.values.field(i)) for i in (0, 1))
                     edge = np.bincount(lo, minlength=len(raw) + 1) - np.bincount(hi + length, minlength=len(raw) + 1)
                     gone = np.cumsum(edge[:-1]) > 0
@@ -292,9 +324,9 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans = "array<struct<start:bigint,end:bigint>>"
     row = F.xxhash64("d", "k")
     split = passes(src, row, cut(sieve(per_row.select(row.alias("key")))))
-    touched = split.where("_maybe").join(per_row, ["d", "k"], "left")
+    # A row let through by chance has no covers.
+    touched = split.where("_maybe").join(per_row, ["d", "k"], "left").select("i", "t", "covers")
+    changed = touched.mapInArrow(remove, f"i {src.schema['i'].dataType.simpleString()}, n_bytes bigint, removed {spans}, kept binary")
     text = F.coalesce("t", F.lit(""))
-    changed = touched.where("covers is not null").select("i", "t", "covers").mapInArrow(remove, f"i {src.schema['i'].dataType.simpleString()}, n_bytes bigint, removed {spans}, kept binary")
-    clean = split.where("not _maybe").select("i", "t").unionByName(touched.where("covers is null").select("i", "t"))
-    clean = clean.select("i", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(spans).alias("removed"), text.cast("binary").alias("kept"))
+    clean = split.where("not _maybe").select("i", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(spans).alias("removed"), text.cast("binary").alias("kept"))
     return changed.unionByName(clean).withColumnRenamed("i", id_col)
