@@ -30,10 +30,29 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _tidy(spark: SparkSession):
+    """What is written inside leaves no shuffle files behind: nothing reads them once the rows are in the shared folder."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: lost executors cannot take them, and the plan starts anew."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, under the setting
 
 
 def dealt_anew(key: Column) -> Column:
@@ -45,16 +64,11 @@ def dealt_anew(key: Column) -> Column:
     return F.bitwise_not(F.bitwise_not(key))
 
 
-@contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Arrow batches of at most rows rows for what runs inside: for rows of many KB, of which 10,000 would fill a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    before = int(spark.conf.get(name))
+    return _setting(spark, name, str(min(rows, before) if before > 0 else rows))
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -124,7 +138,8 @@ def store(df: DataFrame, what: str) -> DataFrame:
     """Like cut, as compressed Parquet: for tables too large for a checkpoint's plain rows."""
     spark, schema = df.sparkSession, df.schema
     path = fresh_dir(spark, what)
-    df.write.parquet(path)
+    with _tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
