@@ -133,6 +133,44 @@ def decode(data: bytes, strict: bool = False, max_depth: int = 32) -> Container:
     return c
 
 
+class Visitor:
+    """Hooks for walk; each gets what it is about and may yield results. depth is 0 for a section's own records, index the place among siblings."""
+
+    def enter_section(self, section: dict):
+        return ()
+
+    def leave_section(self, section: dict):
+        return ()
+
+    def visit_scalar(self, node: Node):
+        return ()
+
+    def enter(self, node: Node):
+        """An ARRAY, a GROUP or a KEYVAL, before its children."""
+        return ()
+
+    def leave(self, node: Node):
+        return ()
+
+
+def walk(c: Container, visitor: Visitor):
+    """Everything the visitor's hooks yield, section by section and depth first."""
+    for s in c.sections:
+        yield from visitor.enter_section(s) or ()
+        todo = [(n, False) for n in reversed(s["roots"])]
+        while todo:
+            n, done = todo.pop()
+            if done:
+                yield from visitor.leave(n) or ()
+            elif n.tag not in ("ARRAY", "GROUP", "KEYVAL"):
+                yield from visitor.visit_scalar(n) or ()
+            else:
+                yield from visitor.enter(n) or ()
+                todo.append((n, True))
+                todo += [(child, False) for child in reversed(n.children)]
+        yield from visitor.leave_section(s) or ()
+
+
 def validate(c: Container, max_depth: int = 32, max_blob: int = 1 << 20, check_item_count: bool = True) -> list[tuple]:
     """(severity, kind, section, path) of every issue, in document order, repeated metadata keys last."""
     out = []

@@ -112,6 +112,11 @@ def tokens(data: bytes) -> list[tuple[str, object, int]]:
     return [*out, ("end", "", len(data))]
 
 
+def token_text(value) -> str:
+    """A token's value as text; strings in their quoted form."""
+    return f'"{quote_escape(value)}"' if isinstance(value, bytes) else str(value)
+
+
 # -- values ------------------------------------------------------------------------------------
 
 
@@ -450,11 +455,11 @@ def query(doc: list[Stmt], path: str):
 
 
 def convert(v, kind: str, fallback=None):
-    """v as kind; int and float convert to each other, anything else that differs is fallback."""
+    """v as kind; int and float convert to each other, anything else that differs is fallback, as is a float beyond 64 bits."""
     if v is MISSING:
         return fallback
     if kind == "int" and isinstance(v, float):
-        return int(v)
+        return int(v) if -(2.0**63) <= v < 2.0**63 else fallback
     if kind == "float" and _is_int(v):
         return float(v)
     return v if type_name(v) == kind else fallback

@@ -6,7 +6,7 @@ This module only takes bytes apart; replaying the journal and resolving strings
 from __future__ import annotations
 
 from .cursor import Reader, Writer, WireError
-from .digests import crc32
+from .digests import crc32, escape, to_hex
 
 #: Fixed values of the format.
 MAGIC, VERSION, HEADER, PAGE_HEADER = b"MDB1", 1, 32, 8
@@ -156,6 +156,79 @@ def overflow(all_pages: list[dict], start: int, max_pages: int = MAX_CHAIN_PAGES
             return "DANGLING_PAGE", bytes(out), visited
 
 
+def live(data: bytes, head: dict, all_pages: list[dict]) -> tuple[dict, int, int]:
+    """({(page, slot): bytes} after the journal, operations that took effect, operations undone); for the texts below, one file at a time."""
+    store, staged, done, undone = {(p, s): b for p, s, b in seeds(all_pages)}, None, 0, 0
+
+    def apply(op, place, body):
+        if op == "DELETE":
+            store.pop(place, None)
+        else:
+            store[place] = body
+
+    for _, op, page, slot, body in journal(data, head):
+        if op == "BEGIN":
+            staged = []
+        elif op == "COMMIT":
+            for x in staged or ():
+                apply(*x)
+            done, staged = done + len(staged or ()), None
+        elif op == "ROLLBACK":
+            undone, staged = undone + len(staged or ()), None
+        elif staged is None:
+            apply(op, (page, slot), body)
+            done += 1
+        else:
+            staged.append((op, (page, slot), body))
+    return store, done, undone + len(staged or ())
+
+
+def _field_text(f: dict, texts: list[bytes]) -> str:
+    kind = f["type"]
+    if kind == "STRING_REF":
+        found = f["ref_id"] < len(texts)
+        return f"#{f['ref_id']} " + (f'"{escape(texts[f["ref_id"]])}"' if found else "<unresolved>")
+    if kind == "INLINE_STRING":
+        return f'"{escape(f["str"])}"'
+    plain = {"NULL": "null", "BOOL": str(f["b"]).lower(), "INT": f["i64"], "UINT": f["u64"]}
+    return f"blob[{len(f['blob'])}]" if kind == "BLOB" else f"{f['f64']:g}" if kind == "FLOAT" else str(plain[kind])
+
+
+def summarize(data: bytes, head: dict, all_pages: list[dict]) -> str:
+    """The store as an indented text."""
+    store, done, undone = live(data, head, all_pages)
+    texts = strings(data, head, all_pages)
+    has_journal = 0 < head["journal_offset"] < len(data)
+    facts = {name: head[name] for name in ("version", "page_size", "page_count", "root_page")}
+    facts["string_table"] = "(none)" if head["string_table_page"] == NO_PAGE else f"page {head['string_table_page']}"
+    facts["journal"] = f"offset {head['journal_offset']}, {done} committed, {undone} rolled back" if has_journal else "(none)"
+    facts |= {"flags": to_hex(head["flags"], 8), "checksum_ok": "yes" if head["checksum_ok"] else "no"}
+    lines = ["minidb MDB1 store", *[f"  {name:<14}: {v}" for name, v in facts.items()], f"string table ({len(texts)} entries)"]
+    lines += [f'  [{i}] "{escape(t)}"' for i, t in enumerate(texts)]
+    lines.append(f"pages ({len(all_pages)})")
+    for p in all_pages:
+        more = ("" if p["overflow_next"] == NO_NEXT else f", overflow_next={p['overflow_next']}") + (", truncated" if p["truncated"] else "")
+        lines.append(f"  page {p['page']}: {p['type']}, slots={p['slot_count']}{more}")
+    lines.append(f"committed records ({len(store)})")
+    lines += [f"  (page {page}, slot {slot}): {', '.join(f'{f["type"]}={_field_text(f, texts)}' for f in fields(body))}" for (page, slot), body in sorted(store.items())]
+    return "\n".join(lines) + "\n"
+
+
+def catalog_text(data: bytes, head: dict, all_pages: list[dict]) -> str:
+    """The catalog of a store as an indented text: pages by type, slots, strings, and the use of each page."""
+    texts = strings(data, head, all_pages)
+    counts = {k: sum(p["type"] == k for p in all_pages) for k in PAGES}
+    used = [sum(ok and length > 0 for _, length, ok in p["slots"]) for p in all_pages]
+    slots = [len(p["slots"]) for p in all_pages]
+    kinds = " ".join(f"{k}={n}" for k, n in counts.items() if n) or "(none)"
+    facts = {"pages": len(all_pages), "page types": kinds, "live records": len(live(data, head, all_pages)[0]), "slots used/dead": f"{sum(used)}/{sum(slots) - sum(used)}"}
+    facts["strings"] = f"{len(texts)} entries, {sum(map(len, texts))} bytes, max {max(map(len, texts), default=0)}, {sum(not t for t in texts)} empty"
+    lines = ["minidb catalog", *[f"  {name:<15}: {v}" for name, v in facts.items()], "  per-page:"]
+    for p, u, n in zip(all_pages, used, slots, strict=True):
+        lines.append(f"    page {p['page']}: {p['type']}, slots {u}/{n} used{f', {n - u} dead' if n > u else ''}{', truncated' if p['truncated'] else ''}")
+    return "\n".join(lines) + "\n"
+
+
 def encode_record(values: list[tuple]) -> bytes:
     """A record of (type, value) fields."""
     w = Writer().varint(len(values))
