@@ -11,12 +11,29 @@ def last_values(flat: DataFrame, path: list[str], value: str, ordinal: str) -> D
     return flat.groupBy(*path).agg(F.max_by(value, ordinal).alias(value))
 
 
-def diff(before: DataFrame, after: DataFrame, path: str, value: str) -> DataFrame:
-    """(path, kind, old, new) with kind REMOVED, ADDED or CHANGED; a full outer equi-join on paths, each unique on its side."""
-    a = before.select(F.col(path), F.col(value).alias("old"), F.lit(True).alias("_a"))
-    b = after.select(F.col(path), F.col(value).alias("new"), F.lit(True).alias("_b"))
+def diff(before: DataFrame, after: DataFrame, path: str, value: str, ordinal: str | None = None) -> DataFrame:
+    """(path, kind, old, new) with kind REMOVED, ADDED or CHANGED; a full outer equi-join on paths.
+
+    With ordinal, of entries that repeat a path the last one counts, and the result is ordered: REMOVED as in before, then
+    ADDED and CHANGED as in after, each path at its first entry. Without, paths have to be unique on each side.
+    """
+
+    def side(rows, name, at):
+        if ordinal is None:
+            return rows.select(F.col(path), F.col(value).alias(name), F.lit(0).alias(at))
+        return rows.groupBy(path).agg(F.max_by(value, ordinal).alias(name), F.min(ordinal).alias(at))
+
+    both = side(before, "old", "_a").join(side(after, "new", "_b"), path, "full")
     kind = F.when(F.col("_b").isNull(), "REMOVED").when(F.col("_a").isNull(), "ADDED").when(~F.col("old").eqNullSafe(F.col("new")), "CHANGED")
-    return a.join(b, path, "full").withColumn("kind", kind).where("kind is not null").select(path, "kind", "old", "new")
+    out = both.withColumn("kind", kind).where("kind is not null")
+    if ordinal is not None:
+        out = out.orderBy(F.col("kind") != "REMOVED", F.coalesce("_b", "_a"), path)
+    return out.select(path, "kind", "old", "new")
+
+
+def flatten_map(rows: DataFrame, keys: list[str], props: str) -> DataFrame:
+    """(keys, path, text): the members of a JSON object of scalars, as flattened configuration has them."""
+    return rows.select(*keys, F.explode(F.from_json(props, "map<string,string>")).alias("path", "text"))
 
 
 class Schema:
@@ -41,6 +58,12 @@ class Schema:
         self.rules.append((name, "NOT_ALLOWED", ~F.col(name).isin(*values)))
         return self
 
+    def typed(self, name: str, kind: str) -> Schema:
+        """A text that does not read as kind (int, float or bool) breaks the rule; a missing one does not."""
+        spark_type = {"int": "bigint", "float": "double", "bool": "boolean"}[kind]
+        self.rules.append((name, "TYPE_MISMATCH", F.col(name).isNotNull() & F.col(name).try_cast(spark_type).isNull()))
+        return self
+
     def violations(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """(keys, rule, kind), a row for each violation; no shuffle."""
         found = [F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(k).alias("kind"))) for n, k, broken in self.rules]

@@ -53,3 +53,24 @@ def string_stats(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """n, total_bytes, max_bytes and empties of a text column."""
     n: Column = F.octet_length(text)
     return rows.groupBy(*keys).agg(F.count(text).alias("n"), F.sum(n).cast("long").alias("total_bytes"), F.max(n).cast("long").alias("max_bytes"), F.count_if(n == 0).alias("empties"))
+
+
+def walk_chains(pages: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(start, hop, stopped_at, status) of chains page -> next from each start, as a recursive query.
+
+    A chain ends where a page comes again (CYCLE), where the next page is not in pages (DANGLING_PAGE), where there
+    is no next (COMPLETE), or after most hops (PAGE_LIMIT). pages is (page, next), unique by page; starts (start).
+    """
+    spark = pages.sparkSession
+    pages.createOrReplaceTempView("_chain_pages")
+    starts.createOrReplaceTempView("_chain_starts")
+    return spark.sql(f"""
+        with recursive chain(start, page, hop, visited, status) as (
+            select start, start, 0, array(start), 'OPEN' from _chain_starts
+            union all
+            select c.start, coalesce(p.next, c.page), c.hop + 1, array_append(c.visited, p.next),
+                case when p.next is null then 'COMPLETE' when array_contains(c.visited, p.next) then 'CYCLE'
+                    when not p.there then 'DANGLING_PAGE' when c.hop + 1 >= {int(most)} then 'PAGE_LIMIT' else 'OPEN' end
+            from chain c join (select a.page, a.next, b.page is not null as there from _chain_pages a left join _chain_pages b on a.next = b.page) p on c.page = p.page
+            where c.status = 'OPEN')
+        select start, hop, page as stopped_at, status from chain where status <> 'OPEN'""")

@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 MODULUS = 65_536
 
 
-def observe(frames: DataFrame, stream: list[str], order: str, seq: str, reset: Column) -> DataFrame:
-    """frames with booleans is_dup, is_gap, is_reset. A reset re-seeds the stream with the frame after it."""
-    w = Window.partitionBy(*stream).orderBy(order)
-    epoch = F.coalesce(F.sum(reset.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = frames.withColumn("is_reset", reset).withColumn("_epoch", epoch)
-    prev = F.lag(seq).over(Window.partitionBy(*stream, "_epoch").orderBy(order))
+def observe(frames: DataFrame, stream: list[str], order: str, seq: str, reset: Column, chunk: int | None = None) -> DataFrame:
+    """frames with booleans is_dup, is_gap, is_reset. A reset re-seeds the stream with the frame after it.
+
+    chunk is for streams too long for one task: windows then go over chunks of so many values of order, a whole number, and
+    each chunk's last frame is handed to the next chunk.
+    """
+    frames = frames.withColumn("is_reset", reset)
+    keys = [F.col(c) for c in stream]
+    if chunk is not None:
+        frames = frames.withColumn("_chunk", F.call_function("div", F.col(order), F.lit(chunk).cast("long")))
+        keys.append(F.col("_chunk"))
+    # A frame is compared with the one before it, unless that was a reset.
+    seen = F.struct(F.col(seq).alias("seq"), F.col("is_reset").alias("reset"))
+    marked = frames.withColumn("_prev", F.lag(seen).over(Window.partitionBy(*keys).orderBy(order)))
+    if chunk is not None:
+        ends = frames.groupBy(*keys).agg(F.max_by(seen, order).alias("_end"))
+        edges = ends.select(*stream, "_chunk", F.lag("_end").over(Window.partitionBy(*stream).orderBy("_chunk")).alias("_end"))
+        marked = marked.join(edges, [*stream, "_chunk"]).withColumn("_prev", F.coalesce("_prev", "_end")).drop("_chunk", "_end")
+    prev = F.when(~F.col("_prev.reset"), F.col("_prev.seq"))
     dup = F.coalesce(F.col(seq) == prev, F.lit(False))
     gap = F.coalesce((F.col(seq) != prev) & (F.col(seq) != (prev + 1) % MODULUS), F.lit(False))
-    return marked.withColumn("is_dup", dup).withColumn("is_gap", gap).drop("_epoch")
+    return marked.withColumn("is_dup", dup).withColumn("is_gap", gap).drop("_prev")
 
 
 def stream_stats(observed: DataFrame, stream: list[str]) -> DataFrame:
@@ -34,9 +47,38 @@ def coalesce_ranges(ranges: DataFrame, keys: list[str], lo: str, hi: str) -> Dat
     return islands.groupBy(*keys, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi")).drop("_island")
 
 
-def complete(islands: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, islands, length, is_complete): complete if one island begins at 0."""
-    return islands.groupBy(*keys).agg(F.count("*").alias("islands"), F.max("hi").alias("length"), ((F.count("*") == 1) & (F.min("lo") == 0)).alias("is_complete"))
+def complete(islands: DataFrame, keys: list[str], total: str | None = None) -> DataFrame:
+    """(keys, islands, length, is_complete): complete if one island begins at 0.
+
+    total names a column of islands with the length a final fragment has set, null where none came: then a message is
+    complete if its length is 0, or one island goes from 0 at least that far.
+    """
+    whole = (F.count("*") == 1) & (F.min("lo") == 0)
+    if total is not None:
+        end = F.max(total)
+        whole = end.isNotNull() & ((end == 0) | (whole & (F.max("hi") >= end)))
+    return islands.groupBy(*keys).agg(F.count("*").alias("islands"), F.max("hi").alias("length"), whole.alias("is_complete"))
+
+
+def final_lengths(fragments: DataFrame, keys: list[str], order: str, end: str, fin: Column) -> DataFrame:
+    """(keys, total): the highest end that had come when the last final fragment did; null where none did."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    reach = fragments.withColumn("_reach", F.max(end).over(w))
+    return reach.groupBy(*keys).agg(F.max_by(F.when(fin, F.col("_reach")), F.when(fin, F.col(order))).alias("total"))
+
+
+def whole_messages(parts: DataFrame, keys: list[str], number: str, amount: str) -> DataFrame:
+    """(keys, fragments, total) of the messages of which all fragments 1 to the highest number are there, each once."""
+    whole = parts.groupBy(*keys).agg(F.count("*").alias("fragments"), F.sum(amount).alias("total"), F.max(number).alias("_fin"))
+    return whole.where("fragments = _fin").drop("_fin")
+
+
+def decode_counters(frames: DataFrame, keys: list[str], kind: str = "type", crc_ok: Column | None = None, **names: str) -> DataFrame:
+    """(keys, frames, control, acks, resets, crc_ok, crc_bad): what a decoder counts. Names map a counter to the value of kind."""
+    names = {"control": "CONTROL", "acks": "ACK", "resets": "RESET"} | names
+    ok = F.col("crc_ok") if crc_ok is None else crc_ok
+    counts = [F.count_if(F.col(kind) == v).alias(n) for n, v in names.items()]
+    return frames.groupBy(*keys).agg(F.count("*").alias("frames"), *counts, F.count_if(ok).alias("crc_ok"), F.count_if(~ok).alias("crc_bad"))
 
 
 def runs(rows: DataFrame, stream: list[str], order: str, value: str, cap: int) -> DataFrame:

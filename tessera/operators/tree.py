@@ -53,8 +53,20 @@ def item_count_mismatches(sections: DataFrame) -> DataFrame:
     return sections.where((F.col("type") != "FREE") & (F.col("item_count") != F.col("records"))).select("path", "section_idx", "item_count", "records")
 
 
+def report(containers: DataFrame, issues: DataFrame) -> DataFrame:
+    """(path, errors, warnings, ok) of every container: ok without errors, whatever the warnings."""
+    found = issues.where("severity is not null").groupBy("path").agg(F.count_if(F.col("severity") == "ERROR").alias("errors"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
+    out = containers.select("path").join(found, "path", "left")
+    return out.select("path", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("errors", "warnings")], (F.coalesce("errors", F.lit(0)) == 0).alias("ok"))
+
+
+def field(fields: Column | str, at: int) -> Column:
+    """The field at a position, from 0; null where the record has fewer."""
+    return F.get(fields, F.lit(at))
+
+
 def render_field(f: Column) -> Column:
-    """A store's field as text; %g of a double is as Spark writes it, not as C does."""
+    """A store's field as text."""
     text = lambda name: F.col(name) if isinstance(f, str) else f[name]
     reference = F.when(text("ref_resolved"), text("str").cast("string")).otherwise(F.concat(F.lit("#"), text("ref_id").cast("string")))
     return (
@@ -65,5 +77,10 @@ def render_field(f: Column) -> Column:
 
 
 def project_row(records: DataFrame) -> DataFrame:
-    """records with columns values (each field as text)."""
-    return records.withColumn("values", F.transform("fields", render_field))
+    """records with a column values: each field as text, floats as %g writes them."""
+    from tessera.functions.registry import general_texts
+
+    # Floats are written by one function for the whole row, as C does; all else is column expressions.
+    floats = records.withColumn("_g", general_texts(F.transform("fields", lambda f: f["f64"])))
+    text = F.zip_with("fields", "_g", lambda f, g: F.when(f["type"] == "FLOAT", g).otherwise(render_field(f)))
+    return floats.withColumn("values", text).drop("_g")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import journal as journals
-from tessera.wire import bpk, cfg, frames, mdb
+from tessera.wire import bpk, cfg, folds, frames, mdb
 from tessera.wire.cursor import WireError
 
 _ERROR = "error struct<code:string,offset:bigint,message:string>"
@@ -56,6 +56,9 @@ def _mdb(data, view, o):
         yield _pick(head, _HEAD)
         return
     pages = mdb.pages(data, head)
+    if view == "summaries":
+        yield mdb.summarize(data, head, pages), mdb.catalog_text(data, head, pages)
+        return
     if view == "pages":
         yield from (_pick(p, _PAGE) for p in pages)
     elif view == "slots":
@@ -80,6 +83,8 @@ def _cfg(data, view, o):
         yield from ((k, *e) for k, e in enumerate(cfg.flatten(doc)))
     elif view == "documents":
         yield len(doc), cfg.serialize(doc, o.get("indent", 2), o.get("inline", 4)), cfg.summarize(doc)
+    elif view == "tokens":
+        yield from ((k, at, kind, cfg.token_text(value)) for k, (kind, value, at) in enumerate(cfg.tokens(data)))
     elif view == "violations":
         yield from ((k, *v) for k, v in enumerate(cfg.check(doc, o["rules"])))
     elif view == "query":
@@ -87,7 +92,7 @@ def _cfg(data, view, o):
             v = cfg.query(doc, p)
             miss = v is cfg.MISSING
             kind = None if miss else cfg.type_name(v)
-            yield p, kind, v if kind == "int" else None, v if kind == "float" else None, v if kind == "bool" else None, v if kind == "string" else None, None if miss else cfg.serialize_value(v)
+            yield p, kind, *[cfg.convert(v, k) for k in ("int", "float", "bool", "string")], None if miss else cfg.serialize_value(v)
     else:
         ids = iter(range(1 << 62))
 
@@ -102,7 +107,35 @@ def _cfg(data, view, o):
 
 
 def _frames(data, view, o):
-    yield from (_pick(f, _FRAME) for f in frames.decode(data, o.get("trailing", "error")))
+    decoded = frames.decode(data, o.get("trailing", "error"))
+    if view == "summaries":
+        yield (summarize_frames(decoded),)
+    else:
+        yield from (_pick(f, _FRAME) for f in decoded)
+
+
+def summarize_frames(decoded) -> str:
+    """A decoded stream as an indented text: counters, messages, streams, controls, acknowledgements."""
+    flow = list(decoded)
+    parts, stats, messages = {}, {}, []
+    for f in flow:
+        stream = f["stream_id"]
+        messages += [(stream, *m) for m in parts.setdefault(stream, folds.ReassemblyFold()).step(f)]
+        for row in stats.setdefault(stream, [folds.SequenceFold(), None])[0].step({"seq": f["seq"], "is_reset": f["type"] == "RESET"}):
+            stats[stream][1] = row
+    of = lambda kind: [f for f in flow if f["type"] == kind]
+    counts = (("frames seen", len(flow)), ("messages emitted", len(messages)), ("control frames", len(of("CONTROL"))), ("ack frames", len(of("ACK"))), ("reset frames", len(of("RESET"))), ("header crc ok", sum(f["crc_ok"] is True for f in flow)), ("header crc bad", sum(f["crc_ok"] is False for f in flow)))
+    lines = ["streamcodec decode", *[f"  {name:<16} : {n}" for name, n in counts], "messages:"]
+    for stream, msg, compressed, data, _ in messages:
+        some = " ".join(f"0x{b:02x}" for b in data[:16]) + (" ..." if len(data) > 16 else "")
+        lines += [f"  stream {stream} msg {msg} size {len(data)}{' [compressed]' if compressed else ''}", f"    bytes: {some}"]
+    lines.append("streams:")
+    lines += [f"  id {stream} frames={n} gaps={gaps} dups={dups} resets={resets}" for stream, (_, (_, n, gaps, dups, resets)) in sorted(stats.items())]
+    if of("CONTROL"):
+        lines += ["controls:", *[f"  stream {f['stream_id']} ref_msg={f['ref_msg_id']} window={f['window']}" for f in of("CONTROL")]]
+    if of("ACK"):
+        lines += ["acks:", *[f"  stream {f['stream_id']} msg {f['msg_id']}" for f in of("ACK")]]
+    return "\n".join(lines) + "\n"
 
 
 #: (decoder, {view: columns}) of each format.
@@ -116,6 +149,7 @@ FORMATS = {
     }),
     "mdb": (_mdb, {
         "databases": "version int, page_size int, page_count bigint, root_page bigint, string_table_page bigint, journal_offset bigint, flags bigint, checksum_ok boolean",
+        "summaries": "summary string, catalog string",
         "pages": "page bigint, type string, type_code int, flags int, slot_count int, free_start int, overflow_next int, truncated boolean",
         "slots": "page bigint, slot int, offset int, length int, in_bounds boolean",
         "strings": "id bigint, bytes binary",
@@ -126,19 +160,21 @@ FORMATS = {
     "cfg": (_cfg, {
         "flat": "ordinal int, key string, value string",
         "documents": "nodes int, canonical string, summary string",
+        "tokens": "ordinal int, offset bigint, kind string, text string",
         "violations": "ordinal int, kind string, rule string",
         "query": "query string, type string, as_int bigint, as_float double, as_bool boolean, as_string binary, text string",
         "nodes": "node_id bigint, parent_id bigint, ordinal int, kind string, name string, label binary, assign_path array<string>, value_type string, value string",
     }),
     "sframe": (_frames, {
         "frames": "frame_idx bigint, header_offset bigint, type string, flags int, stream_id int, msg_id bigint, seq int, frag_offset bigint, has_crc boolean, crc_ok boolean, payload binary, ref_msg_id bigint, window bigint",
+        "summaries": "summary string",
     }),
 }
 
 
 def decode(files: DataFrame, fmt: str, view: str, mode: str = "PERMISSIVE", **options) -> DataFrame:
     """A view of files (path, content), as binaryFile gives them."""
-    run, views = FORMATS[fmt]
+    run, views = options.pop("formats", FORMATS)[fmt]
     schema = f"path string, {views[view]}, {_ERROR}"
     width = len(files.sparkSession.createDataFrame([], schema).columns) - 2
     arrow = _arrow_schema(files.sparkSession, schema)
@@ -172,32 +208,73 @@ def read(spark: SparkSession, path: str, fmt: str, view: str, mode: str = "PERMI
     return decode(spark.read.format("binaryFile").load(path), fmt, view, mode, **options)
 
 
-def mdb_records(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """Live records after journal replay: (path, page, slot, fields with str resolved and ref_resolved).
+def read_stream(spark: SparkSession, path: str, fmt: str, view: str, mode: str = "PERMISSIVE", files_per_trigger: int = 100, **options) -> DataFrame:
+    """A view as a streaming DataFrame: files that appear under path, each decoded once."""
+    source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_trigger)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    return decode(source.schema(schema).load(path), fmt, view, mode, **options)
 
-    Decoded operations go through the journal plans: outcome by windows, last committed wins by one
-    aggregation. Only survivors are taken apart, and string references are a left join on (path, id).
+
+def visit(files: DataFrame, make_visitor, schema: str, mode: str = "PERMISSIVE", **options) -> DataFrame:
+    """(path, schema's columns, error): what a visitor of each container yields.
+
+    make_visitor() gives an object with any of the hooks of tessera.wire.bpk.Visitor; each may yield tuples of schema's columns.
     """
-    ops = decode(files, "mdb", "journal", mode).where("error is null")
-    marked = journals.outcomes(ops.where("op <> 'SEED'"), ["path"], "op_idx").where(F.col("outcome").isin("AUTO", "COMMITTED")).drop("outcome")
-    live = journals.replay(ops.where("op = 'SEED'").unionByName(marked), ["path", "page", "slot"], "op_idx", F.col("op") == "DELETE", ["bytes"])
 
-    def fields(batches):
+    def run(data, view, o):
+        return bpk.walk(bpk.decode(data, o.get("strict", False), o.get("max_depth", 32)), make_visitor())
+
+    return decode(files, "bpk", "visit", mode, formats={"bpk": (run, {"visit": schema})}, **options)
+
+
+def _fields_of(live: DataFrame, mode: str) -> DataFrame:
+    """(path, page, slot, fields, error) of records (path, page, slot, bytes); error where a record cannot be taken apart, unless that fails the query."""
+
+    def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [[f | {"u64": _decimal(f["u64"]), "ref_id": _decimal(f["ref_id"])} for f in mdb.fields(r)] for r in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, arrow.field("fields").type)], schema=arrow)
+            rows, errors = [], []
+            for record in b.column(3).to_pylist():
+                try:
+                    rows.append([f | {"u64": _decimal(f["u64"]), "ref_id": _decimal(f["ref_id"])} for f in mdb.fields(record)])
+                    errors.append(None)
+                except WireError as e:
+                    if mode == "FAILFAST":
+                        raise
+                    rows.append(None)
+                    errors.append({"code": e.code, "offset": e.offset, "message": str(e)})
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(rows, arrow.field("fields").type), pa.array(errors, arrow.field("error").type)], schema=arrow)
 
-    schema = f"path string, page bigint, slot int, fields {_FIELDS}"
-    arrow = _arrow_schema(files.sparkSession, schema)
-    records = live.select("path", "page", "slot", "bytes").mapInArrow(fields, schema)
+    schema = f"path string, page bigint, slot int, fields {_FIELDS}, {_ERROR}"
+    arrow = _arrow_schema(live.sparkSession, schema)
+    return live.select("path", "page", "slot", "bytes").mapInArrow(run, schema)
+
+
+def mdb_records(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Live records after journal replay: (path, page, slot, fields with str resolved and ref_resolved, error).
+
+    Decoded operations go through the journal plans: outcome by windows, last committed wins by one
+    aggregation. Only survivors are taken apart, and string references are a left join on (path, id). A file that
+    cannot be opened, or with a record that cannot be taken apart, is one row with an error and nothing else.
+    """
+    decoded = decode(files, "mdb", "journal", mode)
+    ops = decoded.where("error is null").drop("error")
+    marked = journals.outcomes(ops.where("op <> 'SEED'"), ["path"], "op_idx").where(F.col("outcome").isin("AUTO", "COMMITTED")).drop("outcome")
+    live = journals.replay(ops.where("op = 'SEED'").unionByName(marked), ["path", "page", "slot"], "op_idx", F.col("op") == "DELETE", ["bytes"])
+    taken = _fields_of(live, mode)
+    bad = taken.where("error is not null").groupBy("path").agg(F.min_by("error", F.struct("page", "slot")).alias("error"))
+    records = taken.where("error is null").drop("error").join(bad, "path", "left_anti")
     names = decode(files, "mdb", "strings", mode).where("error is null").select("path", F.col("id").cast("decimal(20,0)").alias("ref_id"), F.col("bytes").alias("text"))
     long = records.select("path", "page", "slot", F.posexplode_outer("fields").alias("i", "f")).withColumn("ref_id", F.col("f.ref_id"))
     long = long.join(names, ["path", "ref_id"], "left")
     one = F.struct("i", F.col("f").withField("str", F.coalesce("f.str", "text")).withField("ref_resolved", F.when(F.col("f.type") == "STRING_REF", F.col("text").isNotNull())).alias("f"))
     packed = long.groupBy("path", "page", "slot").agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), one))).alias("fs"))
-    return packed.select("path", "page", "slot", F.transform("fs", lambda x: x["f"]).alias("fields"))
+    out = packed.select("path", "page", "slot", F.transform("fs", lambda x: x["f"]).alias("fields"), F.lit(None).cast(_ERROR.removeprefix("error ")).alias("error"))
+    if mode == "FAILFAST":
+        return out
+    failed = decoded.where("error is not null").select("path", "error").unionByName(bad)
+    return out.unionByName(failed, allowMissingColumns=True)
 
 
 def mdb_counts(files: DataFrame) -> DataFrame:
@@ -210,8 +287,8 @@ def mdb_counts(files: DataFrame) -> DataFrame:
 def mdb_catalog(files: DataFrame) -> DataFrame:
     """(path, type, n): pages of each known type, zeros included."""
     pages = decode(files, "mdb", "pages").where("error is null")
-    kinds = files.sparkSession.createDataFrame([(k,) for k in mdb.PAGES], "type string")
-    every = pages.select("path").distinct().join(F.broadcast(kinds))
+    kinds = F.explode(F.array(*[F.lit(k) for k in mdb.PAGES]))
+    every = pages.select("path").distinct().select("path", kinds.alias("type"))
     return every.join(pages.groupBy("path", "type").agg(F.count("*").alias("n")), ["path", "type"], "left").select("path", "type", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -219,3 +296,15 @@ def mdb_slot_use(files: DataFrame) -> DataFrame:
     """(path, page, used, dead): slots that hold a record and slots that do not."""
     used = F.col("in_bounds") & (F.col("length") > 0)
     return decode(files, "mdb", "slots").where("error is null").groupBy("path", "page").agg(F.count_if(used).alias("used"), F.count_if(~used).alias("dead"))
+
+
+def mdb_totals(files: DataFrame) -> DataFrame:
+    """(path, pages, live_records, used_slots, dead_slots, strings, string_bytes): a store's catalog in one row."""
+    pages = decode(files, "mdb", "pages").where("error is null").groupBy("path").agg(F.count("*").alias("pages"))
+    live = mdb_records(files).where("error is null").groupBy("path").agg(F.count("*").alias("live_records"))
+    slots = mdb_slot_use(files).groupBy("path").agg(F.sum("used").alias("used_slots"), F.sum("dead").alias("dead_slots"))
+    texts = decode(files, "mdb", "strings").where("error is null").groupBy("path").agg(F.count("*").alias("strings"), F.sum(F.octet_length("bytes")).cast("long").alias("string_bytes"))
+    out = pages
+    for part in (live, slots, texts):
+        out = out.join(part, "path", "left")
+    return out.na.fill(0)
