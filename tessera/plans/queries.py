@@ -4,23 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import config, journal, lookup, sequences
+from tessera.functions import expr
+from tessera.functions import registry as functions
+from tessera.operators import config, journal, lookup, sequences, tree
 
-QUERIES, ORACLE = {}, {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .base import ORACLE, QUERIES
+from .base import query as _query
+from .base import table as _t
 
 
 @_query("""
@@ -40,10 +30,10 @@ _OPS = """
         from b where ctl is null)"""
 
 
-def _ops(spark, sf_dir):
+def _ops(spark, sf_dir, chunk=None):
     kind = F.when(F.col("event_type") == "signup", "BEGIN").when(F.col("event_type") == "purchase", "COMMIT").when(F.col("event_type") == "error", "ROLLBACK").otherwise("INSERT")
     ops = _t(spark, sf_dir, "events").select("user_id", "event_id", "value", (F.col("event_id") % 10).alias("k"), kind.alias("op"))
-    return journal.outcomes(ops, ["user_id"], "event_id").where("outcome is not null")
+    return journal.outcomes(ops, ["user_id"], "event_id", chunk=chunk).where("outcome is not null")
 
 
 @_query(_OPS + " select outcome, count(*) as n from o group by outcome")
@@ -51,6 +41,12 @@ def txn_outcomes(spark, sf_dir):
     return _ops(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@_query(_OPS + " select outcome, count(*) as n from o group by outcome")
+def txn_outcomes_chunked(spark, sf_dir):
+    """txn_outcomes for streams too long for one task: windows over chunks of the journal."""
+    return _ops(spark, sf_dir, chunk=500).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 @_query(_OPS + " select user_id, k, arg_max(value, event_id) as value, max(event_id) as event_id from o where outcome in ('AUTO', 'COMMITTED') group by user_id, k")
 def txn_replay(spark, sf_dir):
     kept = _ops(spark, sf_dir).where(F.col("outcome").isin("AUTO", "COMMITTED"))
@@ -68,6 +64,13 @@ def seq_gap_dup(spark, sf_dir):
     return sequences.stream_stats(sequences.observe(frames, ["user_id"], "event_id", "seq", F.col("event_type") == "error"), ["user_id"])
 
 
+@_query(ORACLE["seq_gap_dup"])
+def seq_gap_dup_chunked(spark, sf_dir):
+    """seq_gap_dup for streams too long for one task."""
+    frames = _t(spark, sf_dir, "events").withColumn("seq", F.expr("(event_id div 64) % 65536"))
+    return sequences.stream_stats(sequences.observe(frames, ["user_id"], "event_id", "seq", F.col("event_type") == "error", chunk=500), ["user_id"])
+
+
 _ISLANDS = """
     with r as (select distinct l_orderkey, l_linenumber - 1 as b, l_linenumber as e from lineitem),
     s as (select *, case when b > max(e) over (partition by l_orderkey order by b, e rows between unbounded preceding and 1 preceding) then 1 else 0 end as nw from r),
@@ -96,8 +99,7 @@ def range_complete(spark, sf_dir):
     select l_orderkey, count(*) as fragments, sum(q)::bigint as total from f group by l_orderkey having count(*) = max(l_linenumber)""")
 def fragment_complete(spark, sf_dir):
     parts = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").cast("long").alias("q"))
-    whole = parts.groupBy("l_orderkey").agg(F.count("*").alias("fragments"), F.sum("q").alias("total"), F.max("l_linenumber").alias("fin"))
-    return whole.where("fragments = fin").drop("fin")
+    return sequences.whole_messages(parts, ["l_orderkey"], "l_linenumber", "q")
 
 
 @_query("""
@@ -189,15 +191,17 @@ def string_stats(spark, sf_dir):
     select count(*) as frames, count(*) filter (event_type = 'signup') as control, count(*) filter (event_type = 'click') as acks,
         count(*) filter (event_type = 'error') as resets, count(*) filter (value < 1) as small, bool_and(value >= 0) as all_ok from events""")
 def conditional_counters(spark, sf_dir):
-    kind = lambda k: F.count_if(F.col("event_type") == k)
-    return _t(spark, sf_dir, "events").agg(F.count("*").alias("frames"), kind("signup").alias("control"), kind("click").alias("acks"), kind("error").alias("resets"), F.count_if(F.col("value") < 1).alias("small"), F.every(F.col("value") >= 0).alias("all_ok"))
+    counted = sequences.decode_counters(_t(spark, sf_dir, "events"), [], "event_type", F.col("value") >= 1, control="signup", acks="click", resets="error")
+    low = _t(spark, sf_dir, "events").agg(F.every(F.col("value") >= 0).alias("all_ok"))
+    # Both sides are one row.
+    return counted.crossJoin(low).select("frames", "control", "acks", "resets", F.col("crc_bad").alias("small"), "all_ok")
 
 
 @_query("""
     select event_id, k as path, json_extract_string(props, '$.' || k) as text
     from (select event_id, props, unnest(json_keys(props)) as k from events)""")
 def flatten_props(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "text"))
+    return config.flatten_map(_t(spark, sf_dir, "events"), ["event_id"], "props")
 
 
 @_query("""
@@ -208,7 +212,7 @@ def flatten_props(spark, sf_dir):
 def config_diff(spark, sf_dir):
     c = _t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("customer["), F.col("c_custkey").cast("string"), F.lit("].segment")).alias("path"), F.col("c_mktsegment").alias("v"))
     after = c.where("c_custkey % 5 <> 0").withColumn("v", F.when(F.col("c_custkey") % 3 == 0, F.concat("v", F.lit("!"))).otherwise(F.col("v")))
-    return config.diff(c.where("c_custkey % 7 <> 0"), after, "path", "v")
+    return config.diff(c.where("c_custkey % 7 <> 0"), after, "path", "v", "c_custkey")
 
 
 @_query("""
@@ -235,21 +239,25 @@ def duplicate_keys(spark, sf_dir):
 
 @_query("select doc_id, n_chars as declared, strlen(text) as actual from documents where n_chars <> strlen(text)")
 def count_mismatch(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("declared"), F.octet_length("text").cast("long").alias("actual")).where("declared <> actual")
+    held = [F.lit("DATA").alias("type"), F.lit(0).alias("section_idx"), F.col("n_chars").alias("item_count"), F.octet_length("text").cast("long").alias("records")]
+    found = tree.item_count_mismatches(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), *held))
+    return found.select(F.col("path").alias("doc_id"), F.col("item_count").alias("declared"), F.col("records").alias("actual"))
 
 
 @_query("select l_orderkey, max(l_linenumber)::bigint as declared, count(*) as actual from lineitem group by l_orderkey having count(*) <> max(l_linenumber)")
 def count_mismatch_orders(spark, sf_dir):
-    counted = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("declared"), F.count("*").alias("actual"))
-    return counted.where("declared <> actual")
+    counted = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("path")).agg(F.max("l_linenumber").cast("long").alias("item_count"), F.count("*").alias("records"))
+    found = tree.item_count_mismatches(counted.select("path", F.lit("DATA").alias("type"), F.lit(0).alias("section_idx"), "item_count", "records"))
+    return found.select(F.col("path").alias("l_orderkey"), F.col("item_count").alias("declared"), F.col("records").alias("actual"))
 
 
 @_query("""
     select vec_id, (i - 1)::int as ordinal, embedding[i]::double as value from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)
     where embedding[i] > 0.25 order by vec_id, ordinal""")
 def collect_nodes(spark, sf_dir):
-    nodes = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("ordinal", "v"))
-    return nodes.where(F.col("v").cast("double") > 0.25).select("vec_id", "ordinal", F.col("v").cast("double").alias("value")).orderBy("vec_id", "ordinal")
+    nodes = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("path"), F.lit(0).alias("section_idx"), F.lit(0).alias("depth"), F.lit("FLOAT").alias("tag"), F.posexplode("embedding").alias("pre_order", "v"))
+    found = tree.collect_records(nodes.withColumn("f64", F.col("v").cast("double")).where("f64 > 0.25"), "FLOAT", recursive=False, section=0)
+    return found.select(F.col("path").alias("vec_id"), F.col("pre_order").alias("ordinal"), F.col("f64").alias("value"))
 
 
 _CHAIN = """
@@ -264,39 +272,56 @@ _CHAIN = """
 
 @_query(_CHAIN.format(one="[n_nationkey]", more="list_append(visited, (page * 7 + 3) % 30)", seen="list_contains(visited, (page * 7 + 3) % 30)"))
 def chain_walk(spark, sf_dir):
-    _t(spark, sf_dir, "nation").createOrReplaceTempView("nation")
-    return spark.sql(_CHAIN.format(one="array(n_nationkey)", more="array_append(visited, (page * 7 + 3) % 30)", seen="array_contains(visited, (page * 7 + 3) % 30)"))
+    pages = _t(spark, sf_dir, "nation").selectExpr("n_nationkey as page", "(n_nationkey * 7 + 3) % 30 as next")
+    return lookup.walk_chains(pages, pages.select(F.col("page").alias("start")), 60)
 
 
 @_query("""
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_partkey - 1000) // 7 as q, (l_partkey - 1000) % 7 as r,
         l_partkey * 3 - l_suppkey as a, -l_partkey as neg, round(l_quantity / 8, 6) as d from lineitem""")
 def expr_arith(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "(l_partkey - 1000) div 7 as q", "(l_partkey - 1000) % 7 as r", "l_partkey * 3 - l_suppkey as a", "-l_partkey as neg", "round(l_quantity / 8, 6) as d")
+    part, supplier, seven, low = F.col("l_partkey"), F.col("l_suppkey"), F.lit(7).cast("long"), F.lit(1000).cast("long")
+    less = expr.subtract(part, low)
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", expr.divide(less, seven).alias("q"), expr.remainder(less, seven).alias("r"),
+        expr.subtract(expr.multiply(part, F.lit(3).cast("long")), supplier).alias("a"), expr.negate(part).alias("neg"), F.round(expr.divide_float(F.col("l_quantity"), F.lit(8)), 6).alias("d"),
+    )
 
 
 @_query("""
     select l_orderkey, l_linenumber, l_partkey & 255 as a, l_partkey | 15 as o, xor(l_partkey, l_suppkey) as x, ~l_partkey as n,
         l_partkey << 3 as sl, l_partkey >> 2 as sr from lineitem""")
 def expr_bitwise(spark, sf_dir):
-    return _t(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey & 255 as a", "l_partkey | 15 as o", "l_partkey ^ l_suppkey as x", "~l_partkey as n", "shiftleft(l_partkey, 3) as sl", "shiftright(l_partkey, 2) as sr")
+    part, supplier, n = F.col("l_partkey"), F.col("l_suppkey"), lambda k: F.lit(k).cast("long")
+    return _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", expr.bit_and(part, n(255)).alias("a"), expr.bit_or(part, n(15)).alias("o"), expr.bit_xor(part, supplier).alias("x"), expr.bit_not(part).alias("n"),
+        expr.shift_left(part, n(3)).alias("sl"), expr.shift_right(part, n(2)).alias("sr"),
+    )
 
 
 @_query("""
     select event_id, value <> 0 and event_type <> '' as both, value < 1 or event_type = 'error' as either, not (value > 10) as neg,
         case when value > 10 then 'big' when value > 1 then 'mid' else 'low' end as pick, event_type <= 'error' as le, (case when user_id % 2 = 0 then null else user_id end) is not distinct from null as eq from events""")
 def expr_logic(spark, sf_dir):
-    return _t(spark, sf_dir, "events").selectExpr("event_id", "value <> 0 and event_type <> '' as both", "value < 1 or event_type = 'error' as either", "not (value > 10) as neg", "case when value > 10 then 'big' when value > 1 then 'mid' else 'low' end as pick", "event_type <= 'error' as le", "(case when user_id % 2 = 0 then null else user_id end) <=> null as eq")
+    value, kind = F.col("value"), F.col("event_type")
+    above = lambda k: expr.compared_numbers(value, F.lit(k)) > 0
+    return _t(spark, sf_dir, "events").select(
+        "event_id", expr.both(expr.truthy(value, "float"), expr.truthy(kind, "string")).alias("both"),
+        expr.either(expr.compared_numbers(value, F.lit(1)) < 0, expr.equal(kind, F.lit("error"))).alias("either"), expr.negated(above(10)).alias("neg"),
+        expr.choose(above(10), F.lit("big"), expr.choose(above(1), F.lit("mid"), F.lit("low"))).alias("pick"), (expr.compared(kind, F.lit("error")) <= 0).alias("le"),
+        expr.equal(F.expr("case when user_id % 2 = 0 then null else user_id end"), F.lit(None).cast("long")).alias("eq"),
+    )
 
 
 @_query("select doc_id, length(text) as code_points, strlen(text) as bytes, strlen(text) = length(text) as is_ascii from documents")
 def utf8_stats(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("code_points"), F.octet_length("text").cast("long").alias("bytes"), (F.octet_length("text") == F.char_length("text")).alias("is_ascii"))
+    count, size = functions.utf8_count(F.col("text").cast("binary")), F.octet_length("text").cast("long")
+    return _t(spark, sf_dir, "documents").select("doc_id", count.alias("code_points"), size.alias("bytes"), (size == count).alias("is_ascii"))
 
 
 @_query("select doc_id, '0x' || lower(lpad(to_hex(doc_id), 8, '0')) as id_hex, lower(hex(encode(left(text, 16)))) as head_hex from documents")
 def hex_escape(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("0x"), F.lower(F.lpad(F.hex("doc_id"), 8, "0"))).alias("id_hex"), F.lower(F.hex(F.substring("text", 1, 16).cast("binary"))).alias("head_hex"))
+    return _t(spark, sf_dir, "documents").select("doc_id", functions.to_hex(F.col("doc_id"), 8).alias("id_hex"), F.lower(F.hex(F.substring("text", 1, 16).cast("binary"))).alias("head_hex"))
 
 
 @_query("select doc_id, lower(hex(encode(text))) as text_hex from documents")
@@ -331,10 +356,8 @@ def cube_counts(spark, sf_dir):
 @_query()
 def checksums(spark, sf_dir):
     """Hashes that SQL engines lack; tested against the plain functions."""
-    from tessera.functions import registry as r
-
-    b = F.col("text").cast("binary")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.crc32(b).alias("crc32"), r.adler32(b).alias("adler32"), r.crc16(b).alias("crc16"), r.fnv1a_64(b).alias("fnv1a_64"))
+    r, b = functions, F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", r.crc32(b).alias("crc32"), r.adler32(b).alias("adler32"), r.crc16(b).alias("crc16"), r.fnv1a_64(b).alias("fnv1a_64"))
 
 
 def _stream(spark, sf_dir, name):
@@ -351,18 +374,22 @@ def _folder(spark, what):
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-stream-")
     return os.path.join(base, f"{what}-{uuid.uuid4().hex}")
 
 
 @_query(ORACLE["seq_gap_dup"])
 def stream_seq_gap_dup(spark, sf_dir):
-    """seq_gap_dup through Structured Streaming: running counters by a stateful fold, the last of each stream."""
+    """seq_gap_dup through Structured Streaming: running counters by a stateful fold, one row a stream and micro-batch, of which the last stays."""
     from tessera.streaming.folds import drain, fold_stream
     from tessera.wire.folds import SequenceFold
 
     frames = _stream(spark, sf_dir, "events").selectExpr("user_id", "event_id", "(event_id div 64) % 65536 as seq", "event_type = 'error' as is_reset")
-    running = drain(fold_stream(frames, ["user_id"], "event_id", SequenceFold, "user_id long"), _folder(spark, "seq"))
+    running = drain(fold_stream(frames, ["user_id"], "event_id", SequenceFold, "user_id long", last=True), _folder(spark, "seq"))
     return running.groupBy("user_id").agg(F.max_by(F.struct("frames", "gaps", "dups", "resets"), "frames").alias("s")).select("user_id", "s.frames", "s.gaps", "s.dups", "s.resets")
 
 
@@ -389,3 +416,6 @@ def delivery_fold(spark, sf_dir):
 
     messages = _t(spark, sf_dir, "events").selectExpr("user_id", "event_id", "cast(row_number() over (partition by user_id order by event_id) as bigint) as msg_id")
     return fold_batch(messages, ["user_id"], "event_id", DeliveryFold, "user_id long").select("user_id", "msg_id")
+
+
+from . import format_queries, function_queries  # noqa: E402, F401  they add to the registry
