@@ -153,6 +153,16 @@ def little_endian(data: Column, at: int, size: int) -> Column:
     return F.conv(F.concat(*[F.hex(F.substring(data, at + 1 + k, 1)) for k in reversed(range(size))]), 16, 10).cast("decimal(20,0)")
 
 
+def bits(data: Column, at: int, count: int) -> Column:
+    """The unsigned number in count bits (up to 48) from bit at on, the most significant of each byte first; null where there are fewer."""
+    if not 0 < count <= 48:
+        raise ValueError("1 to 48 bits at once")
+    first, last = at // 8, -(-(at + count) // 8)
+    window = F.conv(F.hex(F.substring(data, first + 1, last - first)), 16, 10).cast("long")
+    value = F.shiftright(window, 8 * last - at - count).bitwiseAND(F.lit((1 << count) - 1).cast("long"))
+    return F.when(F.octet_length(data) >= last, value)
+
+
 SQL = {"adler32": adler32, "crc16": crc16, "fnv1a_32": fnv1a_32, "fnv1a_64": fnv1a_64, "mix64": _mix64, "hash_combine": _hash_combine, "bytes_escape": escape, "quote_escape": quote_escape, "hexdump": hexdump, "rle_compress": rle_compress, "rle_decompress": rle_decompress}
 
 

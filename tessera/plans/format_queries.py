@@ -305,6 +305,18 @@ def mdb_overflow(spark, sf_dir):
     return chains.join(first, "path").select("path", (F.col("start") - F.col("first")).alias("nth"), "status", F.col("bytes").cast("string").alias("text"), F.size("visited").alias("visited"))
 
 
+@query("""
+    select distinct 'nation-' || c_nationkey as path, k as nth, ['PAGE_LIMIT', 'COMPLETE', 'COMPLETE', 'CYCLE', 'CYCLE', 'DANGLING_PAGE'][k + 1] as by_pages, ['LENGTH_LIMIT', 'LENGTH_LIMIT', 'COMPLETE', 'LENGTH_LIMIT', 'LENGTH_LIMIT', 'DANGLING_PAGE'][k + 1] as by_bytes
+    from customer, (select unnest(range(6)) as k)""")
+def mdb_overflow_caps(spark, sf_dir):
+    """Chains longer than a number of pages, or of bytes, end with what was read until then."""
+    files = _stores(spark, sf_dir)
+    pages, size = formats.decode(files, "mdb", "overflow", max_pages=2), formats.decode(files, "mdb", "overflow", max_bytes=15)
+    first = pages.groupBy("path").agg(F.min("start").alias("first"))
+    both = pages.select("path", "start", F.col("status").alias("by_pages")).join(size.select("path", "start", F.col("status").alias("by_bytes")), ["path", "start"])
+    return both.join(first, "path").select("path", (F.col("start") - F.col("first")).alias("nth"), "by_pages", "by_bytes")
+
+
 @query(f"with c as ({_CUSTOMERS}) select 'nation-' || c_nationkey as path, 1 + i // {_SLOTS} as page, count(*) as used, 0::bigint as dead from c group by all")
 def mdb_slot_use(spark, sf_dir):
     return formats.mdb_slot_use(_stores(spark, sf_dir))
@@ -453,11 +465,12 @@ def cfg_nodes(spark, sf_dir):
 
 
 @query("""
-    select c_custkey::varchar as path, unnest(['name', 'op', 'float', 'op', 'int', 'op', 'str', 'op', 'end']) as kind, unnest(range(9))::int as ordinal,
-        unnest(['x', '=', '1.5', '+', c_custkey::varchar, '+', '"a\\x0b"', ';', '']) as text from customer""")
+    select c_custkey::varchar as path, unnest(['name', 'op', 'float', 'op', 'int', 'op', 'str', 'op', 'name', 'op', 'end']) as kind, unnest(range(11))::int as ordinal,
+        unnest(['identifier', '''=''', 'float', '''+''', 'integer', '''+''', 'string', '''+''', '''null''', ''';''', 'end of input']) as name,
+        unnest(['x', '=', '1.5', '+', c_custkey::varchar, '+', '"a\\x0b"', '+', 'null', ';', '']) as text from customer""")
 def cfg_tokens(spark, sf_dir):
-    files = encoded(_items(table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string"), "c_custkey"), lambda path, items: f'x = 1.5/*.*/+ {int(path):#x} + "a\\x0b"; // end'.encode())
-    return formats.decode(files, "cfg", "tokens").select("path", "kind", "ordinal", "text")
+    files = encoded(_items(table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string"), "c_custkey"), lambda path, items: f'x = 1.5/*.*/+ {int(path):#x} + "a\\x0b" + null; // end'.encode())
+    return formats.decode(files, "cfg", "tokens").select("path", "kind", "ordinal", "name", "text")
 
 
 @query("""
@@ -470,6 +483,14 @@ def cfg_errors(spark, sf_dir):
     return formats.decode(files, "cfg", "flat").select("path", "error.code")
 
 
+@query("""
+    select c_custkey::varchar as path, 'StateViolation' as code, 4 + length(c_custkey::varchar) + 1 as "offset", '[operation invalid in current state @ ' || 5 + length(c_custkey::varchar) || '] division by zero' as message from customer""")
+def cfg_error_places(spark, sf_dir):
+    """Errors say where they are, counted from the start of the file."""
+    files = encoded(_items(table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string"), "c_custkey"), lambda path, items: f"x = {path} / 0;".encode())
+    return formats.decode(files, "cfg", "flat").select("path", "error.code", "error.offset", "error.message")
+
+
 @query("""
     with v as (select c_custkey as k from customer)
     select kind, key, old, new from (

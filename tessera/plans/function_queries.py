@@ -96,6 +96,16 @@ def byte_numbers(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", functions.big_endian(name, 0, 2).cast("string").alias("big"), functions.little_endian(name, 0, 2).cast("string").alias("little"), functions.little_endian(name, 0, 4).cast("string").alias("little_4"))
 
 
+@query("""
+    with b as (select n_nationkey, length(n_name) as n, ascii(n_name[1])::bigint * 65536 + ascii(n_name[2]) * 256 + ascii(n_name[3]) as x from nation)
+    select n_nationkey, x >> 23 as one, (x >> 17) & 63 as six, (x >> 5) & 2047 as eleven, case when n >= 7 then 0 else null end as past from b""")
+def bit_fields(spark, sf_dir):
+    """Bits across bytes, the most significant first; beyond the end there are none."""
+    name = F.col("n_name").cast("binary")
+    of = functions.bits
+    return table(spark, sf_dir, "nation").select("n_nationkey", of(name, 0, 1).alias("one"), of(name, 1, 6).alias("six"), of(name, 8, 11).alias("eleven"), of(name, 48, 1).cast("int").alias("past"))
+
+
 def _wrap(e: str) -> str:
     """SQL of a hugeint brought into 64 signed bits."""
     low = f"(((({e}) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616)"

@@ -84,7 +84,7 @@ def _cfg(data, view, o):
     elif view == "documents":
         yield len(doc), cfg.serialize(doc, o.get("indent", 2), o.get("inline", 4)), cfg.summarize(doc)
     elif view == "tokens":
-        yield from ((k, at, kind, cfg.token_text(value)) for k, (kind, value, at) in enumerate(cfg.tokens(data)))
+        yield from ((k, at, kind, cfg.token_name(kind, value), cfg.token_text(value)) for k, (kind, value, at) in enumerate(cfg.tokens(data)))
     elif view == "violations":
         yield from ((k, *v) for k, v in enumerate(cfg.check(doc, o["rules"])))
     elif view == "query":
@@ -160,7 +160,7 @@ FORMATS = {
     "cfg": (_cfg, {
         "flat": "ordinal int, key string, value string",
         "documents": "nodes int, canonical string, summary string",
-        "tokens": "ordinal int, offset bigint, kind string, text string",
+        "tokens": "ordinal int, offset bigint, kind string, name string, text string",
         "violations": "ordinal int, kind string, rule string",
         "query": "query string, type string, as_int bigint, as_float double, as_bool boolean, as_string binary, text string",
         "nodes": "node_id bigint, parent_id bigint, ordinal int, kind string, name string, label binary, assign_path array<string>, value_type string, value string",

@@ -112,6 +112,16 @@ def tokens(data: bytes) -> list[tuple[str, object, int]]:
     return [*out, ("end", "", len(data))]
 
 
+#: What kinds of tokens are called; keywords and operators are called by their text, in single quotes.
+TOKEN_NAMES = {"end": "end of input", "name": "identifier", "int": "integer", "float": "float", "str": "string"}
+KEYWORDS = ("true", "false", "null", "include")
+
+
+def token_name(kind: str, value) -> str:
+    """What messages call a token."""
+    return f"'{value}'" if kind == "op" or (kind == "name" and value in KEYWORDS) else TOKEN_NAMES[kind]
+
+
 def token_text(value) -> str:
     """A token's value as text; strings in their quoted form."""
     return f'"{quote_escape(value)}"' if isinstance(value, bytes) else str(value)
@@ -260,7 +270,7 @@ class Parser:
         return False
 
     def want(self, kind: str, value: str | None = None):
-        if not self.next_is(kind, value) or (kind == "name" and self.toks[self.i][1] in ("true", "false", "null", "include")):
+        if not self.next_is(kind, value) or (kind == "name" and self.toks[self.i][1] in KEYWORDS):
             raise WireError("BadType", self.at, f"expected {value or kind}")
         return self.take()
 
