@@ -19,6 +19,8 @@ import unicodedata
 import numpy as np
 
 CACHE_PIECES = 600_000
+#: Code points of the texts that are encoded together; a longer text is on its own.
+GROUP_CHARS = 250_000
 _SPACE, _OTHER, _LETTER, _NUMBER, _SEP = 0, 1, 2, 3, 4
 _SEP_CP = 0x10FFFF
 _INF = np.int64(2**62)
@@ -302,7 +304,7 @@ class BatchBPE:
         done: dict[int, np.ndarray] = {}
         group, size = [], 0
         for k in [*plain, None]:
-            if group and (k is None or size + len(parts[k]) > 1_000_000):
+            if group and (k is None or size + len(parts[k]) > GROUP_CHARS):
                 ids, n = self._batch([parts[g] for g in group])
                 for g, x in zip(group, np.split(ids, np.cumsum(n)[:-1]), strict=True):
                     done[g] = x
