@@ -41,7 +41,7 @@ SIEVE_WORDS = 1 << 21
 #: Shares in which windows are compared, by a digit of their digest.
 SHARES = 2
 #: Bytes whose suffixes are looked at together: of one text or of several.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: Texts taken from a batch at a time.
 PART = 256
 _B = 0x9E3779B97F4A7C15 | 1
@@ -71,6 +71,10 @@ class Hashed:
     def of(self, start, stop) -> np.ndarray:
         return _mix((self.sums[stop] - self.sums[start]) * self.inverse[start])
 
+    def all(self, size: int) -> np.ndarray:
+        """Of all substrings of a size, in order."""
+        return _mix((self.sums[size:] - self.sums[: self.n - size + 1]) * self.inverse[: self.n - size + 1])
+
 
 def runs(raw: bytes, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """(hashed, first window, windows, place of the gram, gram hash, part) of all runs in the parts of raw that begin at starts.
@@ -79,22 +83,25 @@ def runs(raw: bytes, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM)
     """
     n = len(raw)
     h = Hashed(raw)
-    at = np.arange(n - gram + 1)
-    grams = h.of(at, at + gram)
+    grams = h.all(gram)
     # Hash order in the high half, place in the low one: the least is the leftmost of the least.
-    low = (grams & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    low = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     span, width = length - gram + 1, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     if width < span:
         low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    size = np.diff(np.append(starts, n)) - length + 1
-    window, part = ragged(starts, size), np.repeat(np.arange(len(starts)), size)
-    named = (low[window] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], (named[1:] != named[:-1]) | (part[1:] != part[:-1]))))
-    count = np.diff(np.append(first, len(named)))
-    return h, window[first], count, named[first], grams[named[first]], part[first]
+    # A run begins with a part, and where another gram is named; what begins behind a part's last window is none.
+    stop = np.append(starts[1:], n) - length + 1
+    other = np.flatnonzero(low[1:] != low[:-1]) + 1
+    part = np.searchsorted(starts, other, "right") - 1
+    other = other[(other > starts[part]) & (other < stop[part])]
+    first = np.sort(np.concatenate((starts, other)))
+    part = np.searchsorted(starts, first, "right") - 1
+    count = np.minimum(np.append(first[1:], n), stop[part]) - first
+    named = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return h, first, count, named, grams[named], part
 
 
 def _together(texts: list, length: int):
