@@ -21,11 +21,12 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, cut
 
 BLOCKS = 4
-CHUNK = 4096
+CHUNK = 16_384
 _SUB = 1024
 _SLACK = 1e-9
 
@@ -44,41 +45,47 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _rows(column, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
+def _rows(column, kind: np.dtype, dim: int) -> np.ndarray:
+    """The vectors of a binary column, in doubles."""
+    data, first = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    flat = np.frombuffer(data, kind, len(column) * dim, int(first)) if len(column) else np.empty(0, kind)
+    return flat.reshape(-1, dim).astype(np.float64)
 
 
-def tile_links(ids, x, other_ids, y, count, other_count, block: int, cosine: float, same: bool):
+def _close(a: np.ndarray, b: np.ndarray, budget: float):
+    """Blocks of (positions in a, positions in b) with a squared distance up to budget and some slack, in single precision."""
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    one = lambda x: np.ones((len(x), 1), np.float32)
+    # One product gives the distances: (-2a, |a|^2, 1) . (b, 1, |b|^2).
+    left, right = np.hstack([-2 * a, na[:, None], one(a)]), np.hstack([b, one(b), nb[:, None]]).T.copy()
+    for i in range(0, len(a), _SUB):
+        d = left[i : i + _SUB] @ right
+        hit = np.flatnonzero(d.ravel() <= np.float32(budget + 1e-4))
+        yield i + hit // len(b), hit % len(b)
+
+
+def tile_links(x: np.ndarray, y: np.ndarray, block: int, cosine: float, same: bool):
     """Links between two sets of vectors that belong to a block: (positions in x, positions in y)."""
     dim = x.shape[1]
     slices, limit = block_slices(dim), 2 - 2 * cosine
+    budget = [limit * (s.stop - s.start) / dim for s in slices]
     q = rotation(dim)
     ux, uy = _unit(x), _unit(y)
-    rx, ry = ux @ q, uy @ q
-    s = slices[block]
-    budget = limit * (s.stop - s.start) / dim
-    a, b = rx[:, s].astype(np.float32), ry[:, s].astype(np.float32)
-    na, nb = (a * a).sum(1), (b * b).sum(1)
+    a, b = ((u @ q[:, slices[block]]).astype(np.float32) for u in (ux, uy))
     left, right = [], []
-    for i in range(0, len(a), _SUB):
-        for j in range(i if same else 0, len(b), _SUB):
-            d = a[i : i + _SUB] @ b[j : j + _SUB].T
-            d *= -2
-            d += na[i : i + _SUB, None]
-            d += nb[None, j : j + _SUB]
-            u, v = np.nonzero(d <= budget + 1e-4)
-            u, v = u + i, v + j
+    for k in range(0, len(b), 8 * _SUB):
+        for u, v in _close(a, b[k : k + 8 * _SUB], budget[block]):
+            v = v + k
             if same:
                 u, v = u[u < v], v[u < v]
             for at in range(0, len(u), 50_000):
                 p, r = u[at : at + 50_000], v[at : at + 50_000]
                 ok = np.einsum("ij,ij->i", ux[p], uy[r]) >= cosine
                 p, r = p[ok], r[ok]
-                diff = (rx[p] - ry[r]) ** 2
+                diff = (ux[p] @ q - uy[r] @ q) ** 2
                 first = np.full(len(p), -1)
-                for k in range(len(slices) - 1, -1, -1):
-                    t = slices[k]
-                    first[diff[:, t].sum(1) <= limit * (t.stop - t.start) / dim + _SLACK] = k
+                for j in range(len(slices) - 1, -1, -1):
+                    first[diff[:, slices[j]].sum(1) <= budget[j] + _SLACK] = j
                 mine = first == block
                 left.append(p[mine])
                 right.append(r[mine])
@@ -100,7 +107,7 @@ def smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _dimension_links(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
+def _dimension_links(reps: DataFrame, kind: np.dtype, dim: int, cosine: float) -> DataFrame:
     """(rep, links, to) parts for representatives (rep, count, v) of one dimension."""
     slices, q = block_slices(dim), rotation(dim)
     radius = [math.sqrt((2 - 2 * cosine) * (s.stop - s.start) / dim) + 1e-6 for s in slices]
@@ -109,7 +116,7 @@ def _dimension_links(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            x = _unit(_rows(b.column("v").to_pylist(), dim)) @ q
+            x = _unit(_rows(b.column("v"), kind, dim)) @ q
             yield pa.RecordBatch.from_arrays([pa.array(x[:, s.start]) for s in slices], names=[f"c{k}" for k in range(len(slices))])
 
     names = [f"c{k}" for k in range(len(slices))]
@@ -126,7 +133,7 @@ def _dimension_links(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
 
         for b in batches:
             ids, counts, vs = b.column("rep").to_numpy(), b.column("count").to_numpy(), b.column("v")
-            x = _unit(_rows(vs.to_pylist(), dim)) @ q
+            x = _unit(_rows(vs, kind, dim)) @ q
             for k, s in enumerate(slices):
                 c, edge = x[:, s.start], bounds[k]
                 home = np.searchsorted(edge, c, "right")
@@ -149,12 +156,12 @@ def _dimension_links(reps: DataFrame, dim: int, cosine: float) -> DataFrame:
         k, i, j = (v.as_py() for v in key)
         table = table.combine_chunks()
         ids, counts, side = (table.column(c).to_numpy() for c in ("rep", "count", "side"))
-        x = _rows(table.column("v").to_pylist(), dim)
+        x = _rows(table.column("v").combine_chunks(), kind, dim)
         if i == j:
-            a, b = tile_links(ids, x, ids, x, counts, counts, k, cosine, True)
+            a, b = tile_links(x, x, k, cosine, True)
         else:
             lo, hi = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            a, b = tile_links(ids[lo], x[lo], ids[hi], x[hi], counts[lo], counts[hi], k, cosine, False) if len(lo) and len(hi) else (lo[:0], hi[:0])
+            a, b = tile_links(x[lo], x[hi], k, cosine, False) if len(lo) and len(hi) else (lo[:0], hi[:0])
             a, b = lo[a], hi[b]
         links = np.bincount(a, counts[b], len(ids)) + np.bincount(b, counts[a], len(ids))
         order = np.argsort(ids, kind="stable")
@@ -186,18 +193,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 if v is None or not len(v) or None in v:
                     out.append(None)
                     continue
-                x = np.asarray(v, np.float64)
+                x = np.asarray(v, kind)
                 out.append((x + 0.0).tobytes() if np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
+    # Vectors travel as they are stored: single precision is exact in doubles.
+    kind = np.dtype(np.float32 if vectors.schema[vector_col].dataType.elementType == T.FloatType() else np.float64)
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"))
     all_rows = src.mapInArrow(packed, "id bigint, v binary")
     good = all_rows.where("id is not null and v is not null")
     reps = cut(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("count")))
-    dims = [r["d"] for r in reps.select((F.octet_length("v") / 8).cast("int").alias("d")).distinct().collect()]
+    dims = [r["d"] for r in reps.select((F.octet_length("v") / kind.itemsize).cast("int").alias("d")).distinct().collect()]
     parts = None
     for d in sorted(dims):
-        got = _dimension_links(reps.where(F.octet_length("v") == 8 * d), d, cosine)
+        got = _dimension_links(reps.where(F.octet_length("v") == kind.itemsize * d), kind, d, cosine)
         parts = got if parts is None else parts.unionByName(got)
     if parts is None:
         return src.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
