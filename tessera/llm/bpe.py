@@ -359,6 +359,8 @@ def bpe_round_trip(docs, path: str | None = None, id_col: str = "doc_id", text_c
     empty text has no ids. Nulls in id_col, repeated
     rows and other columns do not matter; only id_col and text_col are read.
     """
+    from .common import bounded_batches
+
     path = path or vocabulary_path("byte_bpe_50k.json")
 
     def run(batches):
@@ -372,5 +374,5 @@ def bpe_round_trip(docs, path: str | None = None, id_col: str = "doc_id", text_c
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), packed, pa.array([bpe.decode(x) for x in ids], pa.string())], names=["id", "ids", "decoded"])
 
-    src = docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
+    src = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t")
     return src.mapInArrow(run, "id bigint, ids binary, decoded string").withColumnRenamed("id", id_col)

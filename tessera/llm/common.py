@@ -71,6 +71,22 @@ def small_batches(spark: SparkSession, rows: int):
     return _setting(spark, name, str(min(rows, before) if before > 0 else rows))
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_BYTES from now on, so that neither long texts nor many rows fill a worker.
+
+    The setting stays, as it has to hold when a query is run, which is later; a lower one is kept.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", str(spark.conf.get(name, None)))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _LETTER, classes
+from .common import bounded_batches
 
 DIMS = 1 << 14
 SAMPLE_PER_LANG = 600
@@ -115,7 +116,7 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of the labelled rows of docs (text and label not null, text with a letter). Without any: a model that knows nothing."""
-    labelled = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
+    labelled = bounded_batches(docs).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
 
     def frequencies(batches):
         import pyarrow as pa
@@ -176,7 +177,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A null text or one without a letter is UNKNOWN with score 0. All columns stay; those of the two names are replaced.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*[F.col(f"`{c}`") for c in kept])
+    src = bounded_batches(docs).select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index(text_col)
 
     def run(batches):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mix, _powers
-from .common import components, cut, dealt_anew, passes, row_digest, sieve, small_batches, store
+from .common import bounded_batches, components, cut, dealt_anew, passes, row_digest, sieve, small_batches, store
 
 BINS, BANDS, ROWS = 96, 24, 4
 #: Counters that stand for the frequencies of shingles; where they are shared, the order is less sharp and the pairs the same.
@@ -263,7 +263,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    src = docs.select(F.col(id_col).cast("long").alias("id"), row_digest(F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
+    src = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), row_digest(F.col(text_col)).alias("row"), F.col(text_col).alias("t"))
     sig = store(signatures(src, words), "signatures")
     # A node is a distinct set: its number exists once the table is written.
     sets = sig.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))

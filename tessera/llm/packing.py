@@ -23,6 +23,7 @@ from collections import deque
 import numpy as np
 
 from .bpe import opened, vocabulary_path
+from .common import bounded_batches
 
 SIZE = 4096
 END_OF_DOCUMENT = 2
@@ -180,4 +181,4 @@ def pack(docs, path: str | None = None, id_col: str = "doc_id", text_col: str =
         if rows:
             yield batch(rows)
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t").mapInArrow(run, COLUMNS)
+    return bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) as id", f"`{text_col}` as t").mapInArrow(run, COLUMNS)

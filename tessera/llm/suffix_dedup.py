@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _mix, ragged
-from .common import cut, dealt_anew, discard, passes, sieve, store
+from .common import bounded_batches, cut, dealt_anew, discard, passes, sieve, store
 
 LENGTH, GRAM, BLOCK = 100, 32, 16
 #: Words of 64 bits of the map that holds the repeated grams: 16 MB, whatever the input.
@@ -299,7 +299,7 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if block & (block - 1) or gram + block - 1 > length:
         raise ValueError("block has to be a power of two, with gram + block - 1 <= length")
     # A row is known by its id and a hash of its text, which only has to tell rows with one id apart.
-    src = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("t"))
+    src = bounded_batches(docs).select(F.col(id_col).alias("i"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("k"), F.col(text_col).alias("t"))
     found = covers(src.select("d", "k", "t"), length, gram, block)
     per_row = store(found.groupBy("d", "k").agg(F.collect_list(F.struct("lo", "hi")).alias("covers")), "covers")
 

@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_anew, drop_path, fresh_dir
+from .common import bounded_batches, cut, dealt_anew, drop_path, fresh_dir
 
 #: Payloads shorter than this are never turned into revisits.
 REVISIT_LEAST = 100
@@ -127,7 +127,7 @@ def write_monolithic(pages: DataFrame, folder: str, id_col: str = "page_id", url
             out.write(deflate.flush())
             out.close()
 
-    src = pages.selectExpr(f"cast(`{id_col}` as bigint) as page", f"`{url_col}` as url", f"`{html_col}` as html")
+    src = bounded_batches(pages).selectExpr(f"cast(`{id_col}` as bigint) as page", f"`{url_col}` as url", f"`{html_col}` as html")
     return cut(src.mapInArrow(run, "file string, seq bigint, page bigint, n bigint, digest string"))
 
 
