@@ -14,8 +14,9 @@ _CUSTOMERS = "select *, row_number() over (partition by c_nationkey order by c_c
 
 
 def _items(rows, path, order: str, *columns: str):
-    """(path, items): the rows of each path in order."""
-    return rows.groupBy(path.alias("path")).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("items"))
+    """(path, items): the rows of each path in order, dealt to all cores, as making files of them takes more time than their size tells."""
+    dealt = rows.withColumn("path", path).repartition(rows.sparkSession.sparkContext.defaultParallelism, "path")
+    return dealt.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("items"))
 
 
 def _customers(spark, sf_dir):
