@@ -579,7 +579,8 @@ def _event_files(spark, sf_dir):
             payload = k.to_bytes(4, "big") + (k % 1000).to_bytes(4, "big") if kind == "CONTROL" else b"x" * (k % 5) if kind == "DATA" else b""
             # Every third message of DATA begins and never ends.
             frame = frames.encode_frame(kind, int(path), k, k // 64 % 65536, payload, (frames.FRAG if k % 3 == 0 else frames.FIN) if kind == "DATA" else 0, with_crc=k % 4 == 0)
-            out += frame if k % 8 else frame[:19] + b"??" + frame[21:]
+            # A wrong checksum is the right one inverted; fixed bytes would be right for one header in 65,536.
+            out += frame if k % 8 else frame[:19] + bytes(b ^ 0xFF for b in frame[19:21]) + frame[21:]
         return bytes(out)
 
     rows = table(spark, sf_dir, "events").withColumn("stream", F.pmod("user_id", F.lit(50)))

@@ -287,3 +287,20 @@ def test_hashes_of_many_values_at_once():
         assert d.fnv1a_all(values, bits).tolist() == [d.fnv1a(v, bits) for v in values] and d.fnv1a_all([], bits).tolist() == []
     assert d.mix64(0) == 0xE220A8397B1DCDAF  # the first number of splitmix64 from 0
     assert d.hash_combine(1, 2) != d.hash_combine(2, 1) and 0 <= d.hash_combine(2**64 - 1, 2**64 - 1) < 2**64
+
+
+def test_wrong_checksums_are_wrong_for_every_header(spark, tmp_path):
+    """Headers of each kind of which the right checksum is b"??", bytes that must not pass for a wrong one; beside them frames with a right one and with none."""
+    from tessera.plans.queries import ORACLE, QUERIES
+
+    hit = [(688408, 30, "view"), (2353056, 12, "signup"), (5265704, 8, "click"), (2095168, 4, "error")]
+    for (k, user, _), kind, flags in zip(hit, ("DATA", "CONTROL", "ACK", "RESET"), (frames.FIN, 0, 0, 0), strict=True):
+        size = {"DATA": k % 5, "CONTROL": 8}.get(kind, 0)
+        assert frames.encode_frame(kind, user, k, k // 64 % 65536, bytes(size), flags, with_crc=True)[19:21] == b"??"
+    rows = [(k + d, user, event) for k, user, event in hit for d in (0, 1, 4)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["sframe_counters"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        want = con.sql(ORACLE["sframe_counters"].replace("from events", f"from read_parquet('{tmp_path}/events.parquet/*.parquet')"))
+        assert got.columns == want.columns and sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+    assert {tuple(r)[-2:] for r in got.collect()} == {(1, 1)}
